@@ -71,6 +71,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Everything in ASCII but letters and digits.
+SEPARATORS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
@@ -86,15 +88,15 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased (A-Z) words of adjacent texts.
+def word_hashes(data: np.ndarray, bounds: np.ndarray, blank: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased (A-Z) words of adjacent texts; ``blank`` marks the bytes between words.
 
     ``data`` holds the UTF-8 bytes, ``bounds`` the n+1 offsets of the n texts. Returns the words'
     hashes and n+1 offsets into them. The hash of a word is a polynomial in an odd base modulo
     2**64, taken as a difference of prefix sums, then mixed.
     """
     n = len(data)
-    word = ~_SPACE[data]
+    word = ~blank[data]
     first = word.copy()
     inner = np.zeros(n + 1, bool)
     inner[bounds] = True

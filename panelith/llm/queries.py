@@ -8,6 +8,11 @@ from .jaccard import jaccard_components
 from .mixing import mix_sources
 from .quality import quality_rules
 from .secrets import scan_secrets
+from .toxicity import score_toxicity
+
+
+def op1_toxicity(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_mix_sources(spark, sf_dir):
@@ -30,7 +35,7 @@ def op10_secret_scan(spark, sf_dir):
     return scan_secrets(table(spark, sf_dir, "documents")).drop("found", "scanned", "scanned_null")
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op4_jaccard_join, op6_decontamination, op9_quality_rules, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mix_sources, op4_jaccard_join, op6_decontamination, op9_quality_rules, op10_secret_scan)}
 
 #: None of these can be given as SQL over whole tables; tests/llm holds each against brute force.
 ORACLE_SQL: dict[str, str] = {}

@@ -5,7 +5,9 @@ from __future__ import annotations
 from .common import table
 from .decontam import find_leaks
 from .jaccard import jaccard_components
+from .langid import identify_language
 from .mixing import mix_sources
+from .ppm import score_texts
 from .quality import quality_rules
 from .secrets import scan_secrets
 from .toxicity import score_toxicity
@@ -27,6 +29,14 @@ def op6_decontamination(spark, sf_dir):
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_language(spark, sf_dir):
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
+def op8_ppm(spark, sf_dir):
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,7 +45,7 @@ def op10_secret_scan(spark, sf_dir):
     return scan_secrets(table(spark, sf_dir, "documents")).drop("found", "scanned", "scanned_null")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mix_sources, op4_jaccard_join, op6_decontamination, op9_quality_rules, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mix_sources, op4_jaccard_join, op6_decontamination, op7_language, op8_ppm, op9_quality_rules, op10_secret_scan)}
 
 #: None of these can be given as SQL over whole tables; tests/llm holds each against brute force.
 ORACLE_SQL: dict[str, str] = {}

@@ -129,6 +129,33 @@ def text_chunks(texts: pa.Array, limit: int = 1 << 20):
             at = to
 
 
+class Bitmap:
+    """A filter of fixed size (2**24 bits as 2**18 rows) for the ids of ``df``, whatever their number.
+
+    It lets through every id it was made of and a few others, so a join that follows decides; its
+    point is that only rows that may matter are shuffled. The broadcast table has 2**18 rows at most.
+    """
+
+    ROWS = 1 << 18
+
+    def __init__(self, scratch: Scratch, df: DataFrame, column: str, label: str):
+        slots = df.select(self._slot(column), F.expr(f"shiftleft(1L, {self._bit(column)})").alias("_bits"))
+        self.rows = scratch.save(slots.groupBy("_slot").agg(F.bit_or("_bits").alias("_bits")), label)
+
+    def _slot(self, column: str):
+        return F.expr(f"pmod(xxhash64({column}), {self.ROWS}L) as _slot")
+
+    @staticmethod
+    def _bit(column: str) -> str:
+        return f"cast(pmod(shiftright(xxhash64({column}), 20), 64) as int)"
+
+    def split(self, df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+        """(rows that may be among the ids, rows that are not)."""
+        marked = df.withColumn("_slot", self._slot(column)).join(F.broadcast(self.rows), "_slot", "left")
+        hit = F.coalesce(F.expr(f"(shiftright(_bits, {self._bit(column)}) & 1L) = 1"), F.lit(False))
+        return marked.where(hit).select(*df.columns), marked.where(~hit).select(*df.columns)
+
+
 def components(scratch: Scratch, edges: DataFrame, label: str, most: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v: long), root being the least node of its component.
 

@@ -11,7 +11,8 @@ neighbourhood, would meet.
    has are free: a set with H + 1 free signatures has no partner and leaves (most documents do).
 2. The sets left give signatures and one-deletion signatures; costs are counted again and each set
    buys the cheapest H + 1 units. Sets that pay nothing leave too.
-3. The buckets bought connect sets to candidate groups. A group is dealt out in blocks bounded by
+3. The sets of a bucket bought are compared by parity sketches, whose distance is a lower bound of
+   the tokens in which two sets differ; those near enough are joined to candidate groups. A group is dealt out in blocks bounded by
    their tokens; each pair of blocks counts all overlaps exactly with an inverted index and keeps
    a spanning forest of the links, so no pair list of a group of near copies ever exists.
 
@@ -24,10 +25,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, splitmix, text_chunks, word_hashes
+from .common import Bitmap, Scratch, components, splitmix, text_chunks, word_hashes
 
 U = np.uint64
 _MULT = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93)]
@@ -165,6 +166,104 @@ def _lists(values: np.ndarray, at: np.ndarray, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind))
 
 
+def sketches(tokens: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Parity bits of each set: each token flips one of 2**j > n bits, so the bits in which two
+    sketches differ are a lower bound of the tokens in which the sets do. Folding a sketch in
+    halves gives the sketch with fewer bits."""
+    places = splitmix(tokens + U(0x2545F4914F6CDD1D))
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        bits = 64 if b - a < 64 else 1 << int(b - a).bit_length()
+        out.append(np.packbits((np.bincount((places[a:b] & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets, from their sketches."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, bits = int.from_bytes(a, "little"), 8 * len(a)
+    while bits > 8 * len(b):
+        bits //= 2
+        x = (x & ((1 << bits) - 1)) ^ (x >> bits)
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
+def _meetings(rule: Rule, few: int = 8):
+    """Candidate edges from buckets: rows (grp, side, fp, n, sketch) to (u, v).
+
+    A bucket of a few sets gives its pairs whose sketches allow the threshold. A larger one is
+    covered by balls in the sketches' Hamming metric, in which linked sets are within H: centres
+    are taken until every set is within H of one, and each centre is joined to the sets within 2 H,
+    among them all partners of the sets at home there. So sets far apart are not joined.
+    """
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(pdf.grp.to_numpy(), kind="stable")
+        grp, fp, n, side = (pdf[c].to_numpy()[order] for c in ("grp", "fp", "n", "side"))
+        raw = pdf.sketch.to_numpy()[order]
+        cut = np.concatenate([[0], np.flatnonzero(grp[1:] != grp[:-1]) + 1, [len(grp)]]).tolist() if len(grp) else [0]
+        tried: dict[tuple[int, int], bool] = {}
+        ids, sizes = fp.tolist(), n.tolist()
+        for lo, hi in zip(cut, cut[1:]):
+            across = bool(side[lo:hi].any())
+            if hi - lo <= few and not across:
+                for i in range(lo, hi):
+                    for j in range(i + 1, hi):
+                        pair = (ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i])
+                        if pair[0] != pair[1] and pair not in tried:
+                            tried[pair] = apart(raw[i], raw[j]) <= rule.differ(sizes[i] + sizes[j])
+                continue
+            least = min(map(len, raw[lo:hi]))
+            bits = np.stack([_fold(r, least) for r in raw[lo:hi]])
+            most = rule.differ(2 * max(sizes[lo:hi]))
+            away = side[lo:hi] == 0 if across else np.ones(hi - lo, bool)
+            while away.any():
+                c = int(away.argmax())
+                d = np.bitwise_count(bits ^ bits[c]).sum(1)
+                away &= d > most
+                for j in np.flatnonzero(d <= 2 * most).tolist():
+                    tried[(ids[lo + c], ids[lo + j])] = True
+        out = [p for p, near in tried.items() if near and p[0] != p[1]]
+        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+    return run
+
+
+def _fold(sketch: bytes, size: int) -> np.ndarray:
+    x = np.frombuffer(sketch, np.uint64)
+    while len(x) * 8 > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _repeated(batches):
+    """From rows (sign, fp) in order of both, those whose sign another fp has too, as (fp, band)."""
+    last_sign = last_fp = None
+    told = False  # whether the last row is out already
+    for batch in batches:
+        sign, fp = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        if not len(sign):
+            continue
+        if last_sign is not None:
+            sign, fp = np.concatenate([[last_sign], sign]), np.concatenate([[last_fp], fp])
+        fresh = np.ones(len(sign), bool)
+        fresh[1:] = (sign[1:] != sign[:-1]) | (fp[1:] != fp[:-1])
+        was_told = told and last_sign is not None
+        keep_sign, keep_fp = sign[fresh], fp[fresh]
+        same = keep_sign[1:] == keep_sign[:-1]
+        met = np.zeros(len(keep_sign), bool)
+        met[1:] |= same
+        met[:-1] |= same
+        last_sign, last_fp = keep_sign[-1], keep_fp[-1]
+        now_told = bool(met[-1]) or (was_told and len(keep_sign) == 1)
+        if was_told:
+            met[0] = False
+        told = now_told
+        yield pa.RecordBatch.from_arrays([pa.array(keep_fp[met]), pa.array(keep_sign[met] & 63)], ["fp", "band"])
+
+
 def _profile(k: int, rule: Rule):
     """For each text: its size, fingerprint, all signatures, and how many each band has and needs."""
 
@@ -198,7 +297,7 @@ def _sets(k: int):
         for batch in batches:
             for _, data, bounds in text_chunks(batch.column(0)):
                 tokens, at = shingle_sets(data, bounds, k)
-                yield pa.RecordBatch.from_arrays([pa.array(fingerprint(tokens, at)), _lists(tokens.view(np.int64), at, pa.int64())], ["fp", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(fingerprint(tokens, at)), _lists(tokens.view(np.int64), at, pa.int64()), pa.array(sketches(tokens, at), pa.binary())], ["fp", "tokens", "sketch"])
 
     return run
 
@@ -209,7 +308,11 @@ def _open_lists(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _neighbourhoods(rule: Rule, widest: int):
-    """Rows (sign, fp, band, units, seg, gone): every signature and one-deletion signature of the sets."""
+    """Rows (sign, fp, slot): every signature and one-deletion signature of the sets.
+
+    A slot packs the segment's number within its set, its width (up to widest + 1), its band, and
+    whether a token is left out, from high to low bits.
+    """
 
     def run(batches):
         for batch in batches:
@@ -218,8 +321,10 @@ def _neighbourhoods(rule: Rule, widest: int):
             lo = 0
             while lo < len(fps):  # bounded by tokens, not by sets
                 hi = max(lo + 1, int(np.searchsorted(at, at[lo] + 200_000, "right")) - 1)
-                rows, bands, units, seg, sign, gone = signatures(rule, tokens[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], True, widest)
-                yield pa.RecordBatch.from_arrays([pa.array(sign), pa.array(fps[lo:hi][rows]), pa.array(bands.astype(np.int32)), pa.array(units), pa.array(seg.astype(np.int64)), pa.array(gone)], ["sign", "fp", "band", "units", "seg", "gone"])
+                rows, bands, _, seg, sign, gone = signatures(rule, tokens[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], True, widest)
+                width = np.bincount(seg[gone], minlength=int(seg.max()) + 1 if len(seg) else 0)
+                slot = ((seg.astype(np.int64) * 16 + width[seg]) * 64 + bands) * 2 + gone
+                yield pa.RecordBatch.from_arrays([pa.array(sign), pa.array(fps[lo:hi][rows]), pa.array(slot)], ["sign", "fp", "slot"])
                 lo = hi
 
     return run
@@ -280,11 +385,26 @@ def _verify(rule: Rule):
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, widest: int = 8, block_tokens: int = 400_000) -> DataFrame:
+def _deal(rows: DataFrame, key, few: int) -> DataFrame:
+    """Rows of groups (key) in ``parts`` blocks, once for each pair of blocks (fp, grp, side, unit).
+
+    ``grp`` tells the block pairs apart, ``side`` is 1 for the second block of a pair; block pairs of
+    split groups are tasks of their own, whole groups share ``few`` tasks.
+    """
+    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    one = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side")))
+    many = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("a"), F.greatest(p, F.col("part")).alias("b"), (F.col("part") > p).cast("int").alias("side")))
+    rows = rows.select("fp", "parts", key.alias("_key"), part.alias("part"))
+    rows = rows.select("fp", "parts", "_key", F.explode(F.when(F.col("parts") == 1, one).otherwise(many)).alias("t")).select("fp", "parts", "_key", "t.*")
+    unit = F.when(F.col("parts") == 1, F.pmod("_key", F.lit(few))).otherwise(F.xxhash64("_key", "a", "b"))
+    return rows.select("fp", F.xxhash64("_key", "a", "b").alias("grp"), "side", unit.alias("unit"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, widest: int = 4, bucket: int = 4096, block_tokens: int = 1_000_000) -> DataFrame:
     """(id, n_shingles, component_id) for every row: the least id reachable by links.
 
     Two rows link when den * |intersection| >= num * |union| over their k-word shingles. A block of
-    a candidate group holds at most ``block_tokens`` shingles, or one larger set.
+    a candidate group holds at most ``block_tokens`` shingles, or one larger set; larger buckets than ``bucket`` sets are dealt out in blocks too.
     """
     spark = docs.sparkSession
     scratch, rule = Scratch(spark, "jaccard"), Rule(num, den)
@@ -293,52 +413,55 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     profile = scratch.save(plain.mapInArrow(_profile(k, rule), "doc_id long, n long, fp long, signs array<long>"), "profile")
 
     # One representative for each set. Signatures that several sets have:
-    signs = profile.where(F.size("signs") > 0).select("fp", F.explode("signs").alias("sign"))
-    spread = signs.repartition("sign").groupBy("sign").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("sign")
-    met = signs.repartition("sign").join(spread, "sign").groupBy("fp", F.col("sign").bitwiseAND(63).alias("band")).agg(F.countDistinct("sign").alias("met"))
+    # the rows of a signature come sorted, so they are compared in passing and shuffled once.
+    signs = profile.select(F.explode("signs").alias("sign"), "fp").repartition("sign").sortWithinPartitions("sign", "fp")
+    met = signs.mapInArrow(_repeated, "fp long, band long").groupBy("fp", "band").agg(F.count("*").alias("met"))
     have = profile.where(F.size("signs") > 0).select("fp", "n", F.explode(F.array_distinct(F.transform("signs", lambda s: s.bitwiseAND(63)))).alias("band"), "signs")
     have = have.select("fp", "n", "band", F.size(F.filter("signs", lambda s: s.bitwiseAND(63) == F.col("band"))).alias("all_signs")).groupBy("fp", "band").agg(F.first("n").alias("n"), F.first("all_signs").alias("all_signs"))
-    needy = met.join(have, ["fp", "band"]).where(F.col("all_signs") - F.col("met") < _needs(rule)(F.col("n"), F.col("band").cast("int")))
-    needy = scratch.save(needy.select("fp").distinct(), "needy")
+    needy = met.join(have, ["fp", "band"]).withColumn("units", _needs(rule)(F.col("n"), F.col("band").cast("int"))).where("all_signs - met < units")
+    needy = scratch.save(needy.select("fp", "band", "units"), "needy")
+    profile = scratch.save(profile.select("doc_id", "n", "fp"), "sizes")
+    scratch.drop("profile")
 
     # The sets that are left, from one row of each; they buy the cheapest units.
-    heads = needy.join(profile.select("fp", "doc_id"), "fp").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    texts = plain.join(heads.where("doc_id is not null"), "doc_id").select("text")
-    sets = scratch.save(texts.mapInArrow(_sets(k), "fp long, tokens array<long>").dropDuplicates(["fp"]), "sets")
-    rows = scratch.save(sets.mapInArrow(_neighbourhoods(rule, widest), "sign long, fp long, band int, units long, seg long, gone boolean").repartition("sign"), "rows")
-    keys = rows.groupBy("sign").agg(F.count_if(~F.col("gone")).alias("exact"), F.count_if("gone").alias("less")).where("exact + less > 1")
-    met = rows.join(keys, "sign", "left").select("*", F.coalesce("exact", F.lit(1)).alias("e"), F.coalesce("less", F.lit(0)).alias("l"))
-    segment = met.groupBy("fp", "band", "units", "seg").agg(
-        F.sum(F.when(~F.col("gone"), F.col("e") - 1).otherwise(0)).alias("c1"),
-        F.sum(F.when(F.col("gone"), F.coalesce("exact", F.lit(0))).otherwise(F.col("e") - 1 + F.col("l"))).alias("c2"),
-        F.count_if("gone").alias("width"),
+    heads = needy.select("fp").distinct().join(profile, "fp").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null").select("doc_id").distinct()
+    heads = scratch.save(heads, "heads")
+    likely, _ = Bitmap(scratch, heads, "doc_id", "heads-map").split(plain, "doc_id")
+    texts = likely.join(heads, "doc_id").select("text")
+    sets = scratch.save(texts.mapInArrow(_sets(k), "fp long, tokens array<long>, sketch binary").where(F.size("tokens") > 0).dropDuplicates(["fp"]), "sets")
+    rows = scratch.save(sets.mapInArrow(_neighbourhoods(rule, widest), "sign long, fp long, slot long"), "rows")
+    gone, band, width, seg = F.expr("slot & 1") == 1, F.expr("shiftright(slot, 1) & 63"), F.expr("shiftright(slot, 7) & 15"), F.expr("shiftright(slot, 1)")
+    keys = rows.groupBy("sign").agg(F.count_if(~gone).alias("exact"), F.count_if(gone).alias("less")).where("exact + less > 1")
+    paid = rows.join(keys, "sign").groupBy("fp", seg.alias("seg")).agg(
+        F.sum(F.when(~gone, F.col("exact") - 1).otherwise(0)).alias("c1"),
+        F.sum(F.when(gone, F.col("exact")).otherwise(F.col("exact") - 1 + F.col("less"))).alias("c2"),
     )
+    grants = lambda w: F.when(w.between(1, widest - 1), 2).otherwise(1)
+    offered = rows.where(~gone).groupBy("fp", band.alias("band")).agg(F.sum(grants(width)).alias("offered"))
     step = lambda u, c: F.struct(F.lit(u).alias("unit"), c.cast("long").alias("cost"))
-    steps = segment.select("fp", "band", "units", "seg", F.explode(F.when(F.col("width").between(1, widest - 1), F.array(step(1, F.col("c1")), step(2, F.greatest("c1", F.col("c2") - F.col("c1"))))).otherwise(F.array(step(1, F.col("c1"))))).alias("s")).select("fp", "band", "units", "seg", "s.*")
-    free = steps.groupBy("fp", "band", "units").agg(F.count_if(F.col("cost") == 0).alias("free")).where("free < units")
-    from pyspark.sql import Window
-
-    bought = steps.where("cost > 0").join(free, ["fp", "band", "units"]).withColumn("at", F.row_number().over(Window.partitionBy("fp", "band").orderBy("cost", "seg", "unit"))).where("at <= units - free")
-    bought = bought.groupBy("fp", "band", "seg").agg(F.max("unit").alias("unit"))
-    used = rows.join(bought, ["fp", "band", "seg"]).where("not gone or unit = 2").groupBy("sign").agg(F.max(F.col("unit") == 2).alias("wide"))
-    hits = rows.join(used, "sign").where("wide or not gone")
-    heart = hits.groupBy("sign").agg(F.min("fp").alias("v"))
-    edges = hits.join(heart, "sign").select(F.col("fp").alias("u"), "v")
+    paid = paid.withColumn("band", F.expr("seg & 63")).withColumn("width", F.expr("shiftright(seg, 6) & 15"))
+    steps = paid.select("fp", "band", "seg", F.explode(F.when(grants(F.col("width")) == 2, F.array(step(1, F.col("c1")), step(2, F.greatest("c1", F.col("c2") - F.col("c1"))))).otherwise(F.array(step(1, F.col("c1"))))).alias("s")).select("fp", "band", "seg", "s.*").where("cost > 0")
+    steps = scratch.save(steps, "steps")
+    priced = steps.groupBy("fp", "band").agg(F.count("*").alias("priced"))
+    short = needy.join(offered, ["fp", "band"]).join(priced, ["fp", "band"]).withColumn("buy", F.col("units") - F.col("offered") + F.col("priced")).where("buy > 0").select("fp", "band", "buy")
+    bought = steps.join(short, ["fp", "band"]).withColumn("at", F.row_number().over(Window.partitionBy("fp", "band").orderBy("cost", "seg", "unit"))).where("at <= buy")
+    bought = scratch.save(bought.groupBy("fp", "seg").agg(F.max("unit").alias("unit")), "bought")
+    wanted = rows.withColumn("seg", seg).join(bought, ["fp", "seg"]).where(~gone | (F.col("unit") == 2)).groupBy("sign").agg(F.max(F.col("unit") == 2).alias("wide"))
+    hits = scratch.save(rows.join(wanted, "sign").where(F.col("wide") | ~gone).select("sign", "fp").distinct(), "hits")
+    members = hits.groupBy("sign").agg(F.count("*").alias("members")).where("members > 1")
+    side = sets.select("fp", F.size("tokens").cast("long").alias("n"), "sketch")
+    met = hits.join(members, "sign").withColumn("parts", F.ceil(F.col("members") / F.lit(bucket)).cast("int"))
+    met = _deal(met, F.xxhash64("sign"), spark.sparkContext.defaultParallelism * 4).join(side, "fp")
+    edges = met.groupBy("unit").applyInPandas(_meetings(rule), "u long, v long")
+    edges = scratch.save(edges, "edges")
+    scratch.drop("rows", "steps", "bought", "hits")
     groups = scratch.save(components(scratch, edges, "groups"), "groups")
-    scratch.drop("rows")
 
     # Blocks of each group; small groups share a task.
     sized = groups.join(sets.select("fp", F.size("tokens").alias("size")), groups.node == F.col("fp")).select("fp", "root", "size")
     total = sized.groupBy("root").agg(F.sum("size").alias("tokens"))
     dealt = sized.join(total, "root").withColumn("parts", F.ceil(F.col("tokens") / F.lit(block_tokens)).cast("int"))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    tasks = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("a"), F.greatest(p, F.col("part")).alias("b"), (F.col("part") > p).cast("int").alias("side")))
-    )
-    dealt = dealt.select("fp", "root", "parts", F.explode(tasks).alias("t")).select("fp", "root", "parts", "t.*")
-    few = F.greatest(F.lit(1), F.lit(spark.sparkContext.defaultParallelism * 4))
-    unit = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), few)).otherwise(F.xxhash64("root", "a", "b"))
-    work = dealt.select("fp", F.xxhash64("root", "a", "b").alias("grp"), "side", unit.alias("unit")).join(sets, "fp")
+    work = _deal(dealt.select("fp", "root", "parts"), F.xxhash64("root"), spark.sparkContext.defaultParallelism * 4).join(sets.select("fp", "tokens"), "fp")
     links = scratch.save(work.groupBy("unit").applyInPandas(_verify(rule), "u long, v long"), "links")
     roots = components(scratch, links, "links")
 
@@ -354,17 +477,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The documents with one of each linked group left: the one with the least doc_id.
 
-    Rows that repeat a doc_id are one document; the first by text stays. Rows without a doc_id stay
-    unless they are copies of a document that has one.
+    Rows that repeat a doc_id are one document; the first by text stays. Of the rows without a
+    doc_id, one of each text stays.
     """
-    marks = jaccard_components(docs, **how).where("component_id is null or component_id = doc_id").select("doc_id").distinct()
-    kept = docs.join(marks.where("doc_id is not null"), "doc_id", "left_semi")
-    first = F.row_number().over(_by_id())
-    named = kept.withColumn("_copy", first).where("_copy = 1").drop("_copy")
-    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])) if "doc_id" in docs.columns else named
-
-
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+    scratch = Scratch(docs.sparkSession, "keep")
+    marks = scratch.save(jaccard_components(docs, **how).select(F.col("doc_id").cast("long").alias("doc_id"), "component_id"), "marks")
+    ids = marks.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id"))
+    ids = scratch.save(ids.where("rows > 1 or component_id <> doc_id").select("doc_id", (F.col("component_id") < F.col("doc_id")).alias("goes")), "ids")
+    likely, sure = Bitmap(scratch, ids, "doc_id", "ids-map").split(docs.where("doc_id is not null"), "doc_id")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
+    left = likely.join(ids.where("goes").select(F.col("doc_id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti").withColumn("_row", first).where("_row = 1").select(*docs.columns)
+    nameless = docs.where("doc_id is null").withColumn("_row", F.row_number().over(Window.partitionBy(F.xxhash64("text"), "text").orderBy(F.lit(1)))).where("_row = 1").select(*docs.columns)
+    return sure.unionByName(left).unionByName(nameless)

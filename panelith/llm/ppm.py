@@ -41,22 +41,24 @@ def gram_keys(data: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndar
 
     A context is the ``order`` bytes before, the latest in the low byte; newlines stand before a text.
     """
-    n = len(bounds) - 1
-    pad = order + 1
-    flat = np.full(len(data) + n * pad, 10, np.int64)
+    flat, (where, start) = padded(data, bounds, order)
+    ends = start + np.diff(bounds)
+    places = np.concatenate([where, ends])
+    wide = flat.astype(np.int64)
+    context = np.zeros(len(places), np.int64)
+    for j in range(order):
+        context |= wide[places - 1 - j] << (8 * j)
+    return context, np.concatenate([data.astype(np.int64), np.full(len(bounds) - 1, END)])
+
+
+def padded(data: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The texts with ``order`` newlines before each and one place after, the places of their bytes, and of their starts."""
     size = np.diff(bounds)
-    start = np.cumsum(size + pad) - size
+    start = np.cumsum(size + order + 1) - size - 1
     where = np.arange(len(data)) + np.repeat(start - bounds[:-1], size)
+    flat = np.full(len(data) + len(size) * (order + 1), 10, np.uint8)
     flat[where] = data
-    context = np.zeros(len(flat), np.int64)
-    for j in range(order):
-        context[j + 1 :] |= flat[: len(flat) - j - 1] << (8 * j)
-    ends = start + size  # the place after each text, which the next text's padding holds
-    symbols = np.concatenate([data.astype(np.int64), np.full(n, END)])
-    tail = np.zeros(n, np.int64)
-    for j in range(order):
-        tail |= np.concatenate([flat, np.full(pad, 10)])[ends - 1 - j] << (8 * j)
-    return np.concatenate([context[where], tail]), symbols
+    return flat, (where, start)
 
 
 def _grams(order: int, batch_bytes: int):
@@ -105,22 +107,24 @@ class Trie:
     def build(self) -> Trie:
         if self.ready:
             return self
-        uniform = np.full(257, 1 / 257)
-        probability = [np.empty((0, 257))] * (self.order + 1)
+        uniform = np.full(257, 1 / 257, np.float32)
+        probability = [np.empty((0, 257), np.float32)] * (self.order + 1)
         self.contexts = []
         for k, (context, symbol, n) in enumerate(self.levels):
             names, row = np.unique(context, return_inverse=True)
+            if k == 0:
+                names, row = np.zeros(1, np.int64), np.zeros(len(context), np.int64)  # there even with nothing learned
             counts = np.zeros((len(names), 257), np.float32)
             counts[row, symbol] = n
             seen = counts > 0
-            total, kinds = counts.sum(1, keepdims=True), seen.sum(1, keepdims=True)
+            total, kinds = counts.sum(1, keepdims=True, dtype=np.float64).astype(np.float32), seen.sum(1, keepdims=True, dtype=np.float32)
             if k == 0:
                 lower = np.broadcast_to(uniform, counts.shape)
             else:
                 parent = np.searchsorted(self.contexts[k - 1], names & ((1 << (8 * (k - 1))) - 1))
                 lower = probability[k - 1][parent]
             # Excluding the symbols seen here, the shorter context's probabilities of the others are scaled up.
-            rest = np.where(seen, 0, lower)
+            rest = np.where(seen, np.float32(0), lower)
             mass = rest.sum(1, keepdims=True)
             none = mass <= 1e-12
             escape = np.where(none, 0, kinds / np.maximum(total + kinds, 1))
@@ -130,42 +134,50 @@ class Trie:
         base = np.cumsum([0] + [len(c) for c in self.contexts])
         self.cost = np.log10(np.maximum(np.concatenate(probability), 1e-30)).astype(np.float32)
         self.base, self.ready = base, True
-        # From the last two bytes to the longest kept context of at most two; longer ones step by step.
-        self.short = np.zeros(1 << 16, np.int32)
-        if self.order >= 1 and len(self.contexts[1]):
-            one = np.full(256, 0, np.int32)
-            one[self.contexts[1]] = base[1] + np.arange(len(self.contexts[1]))
-            self.short = np.tile(one, 256)
-        if self.order >= 2:
-            self.short[self.contexts[2]] = base[2] + np.arange(len(self.contexts[2]))
+        # The rows of one- and two-byte contexts by their bytes; row len(contexts[k]) stands for none.
+        sizes = [len(c) for c in self.contexts]
+        self.one = np.full(256, sizes[1], np.int32)
+        self.one[self.contexts[1]] = np.arange(sizes[1])
+        # A context of k bytes follows the context of its first k - 1 by its last byte.
+        self.follow = [None, None]
+        for k in range(2, self.order + 1):
+            names, before = self.contexts[k], self.contexts[k - 1]
+            step = np.full((sizes[k - 1] + 1, 256), sizes[k], np.int32)
+            if len(names) and len(before):
+                at = np.minimum(np.searchsorted(before, names >> 8), len(before) - 1)
+                some = before[at] == names >> 8
+                step[at[some], (names & 255)[some]] = np.flatnonzero(some)
+            self.follow.append(step)
         return self
 
-    def places(self, context: np.ndarray) -> np.ndarray:
-        """The row of the longest kept context for each context of ``order`` bytes."""
-        at = self.short[context & 0xFFFF] if self.order >= 2 else self.short[context & 0xFF]
-        for k in range(3, self.order + 1):
-            names = self.contexts[k]
-            if not len(names):
-                break
-            cut = context & ((1 << (8 * k)) - 1)
-            # Only positions whose shorter context is kept can have a longer one.
-            some = np.flatnonzero(at >= self.base[k - 1])
-            where = np.minimum(np.searchsorted(names, cut[some]), len(names) - 1)
-            hit = names[where] == cut[some]
-            at[some[hit]] = self.base[k] + where[hit]
+    def rows(self, flat: np.ndarray) -> np.ndarray:
+        """The row of the longest kept context before each place but the first of adjacent padded texts."""
+        sizes = [len(c) for c in self.contexts]
+        last = flat[:-1]
+        exact = self.one[last]
+        at = np.where(exact < sizes[1], self.base[1] + exact, 0).astype(np.int32)
+        for k in range(2, self.order + 1):
+            longer = np.full(len(last), sizes[k], np.int32)
+            longer[1:] = self.follow[k][exact[:-1], last[1:]]
+            exact = longer
+            hit = exact < sizes[k]
+            np.copyto(at, self.base[k] + exact, where=hit, casting="unsafe")
         return at
 
     def log10(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """log10 probability of each of the adjacent texts with its end."""
         self.build()
-        context, symbol = gram_keys(data, bounds, self.order)
-        cost = self.cost[self.places(context), symbol].astype(np.float64)
+        flat, places = padded(data, bounds, self.order)
+        row = np.concatenate([[0], self.rows(flat)])
         n = len(bounds) - 1
-        sums = np.concatenate([[0.0], np.cumsum(cost[: len(data)])])
-        return sums[bounds[1:]] - sums[bounds[:-1]] + cost[len(data) : len(data) + n]
+        ends = places[1] + np.diff(bounds)
+        cost = self.cost[row[places[0]], data].astype(np.float64)
+        last = self.cost[row[ends], END].astype(np.float64)
+        sums = np.concatenate([[0.0], np.cumsum(cost)])
+        return sums[bounds[1:]] - sums[bounds[:-1]] + last[:n]
 
 
-def fit_trie(texts: DataFrame, scratch: Scratch, order: int = 4, share: int = 15_000, batch_bytes: int = 8 << 20) -> Trie:
+def fit_trie(texts: DataFrame, scratch: Scratch, order: int = 5, share: int = 120_000, batch_bytes: int = 8 << 20) -> Trie:
     """The trie of all ``texts`` (column text)."""
     grams = scratch.save(texts.mapInArrow(_grams(order, batch_bytes), "context long, symbol int, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n")), "grams")
     total = grams.agg(F.sum("n")).first()[0] or 0
@@ -205,7 +217,7 @@ def _token_counts(batch_rows: int = 400_000):
     return run
 
 
-def score_texts(docs: DataFrame, order: int = 4, share: int = 15_000, hot: int = 50_000) -> DataFrame:
+def score_texts(docs: DataFrame, order: int = 5, share: int = 120_000, hot: int = 50_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ppm")
@@ -219,7 +231,7 @@ def score_texts(docs: DataFrame, order: int = 4, share: int = 15_000, hot: int =
     # Tokens with a share of at least 1 / hot of all: at most ``hot`` of them, whatever the corpus.
     often = {bytes(r.token): int(r.n) for r in vocabulary.where(F.col("n") * hot >= n_all).collect()}
     log_total, end_part = math.log10(n_all + v + 1), math.log10(ends + 1)
-    trie = fit_trie(train, scratch, order, share)
+    trie = spark.sparkContext.broadcast(fit_trie(train, scratch, order, share))  # once for each worker
     names = ["row", "doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "score", "cold", "times"]
 
     def run(batches):
@@ -227,7 +239,7 @@ def score_texts(docs: DataFrame, order: int = 4, share: int = 15_000, hot: int =
         for batch in batches:
             for first, data, bounds in text_chunks(batch.column(3)):
                 k = len(bounds) - 1
-                score = trie.log10(data, bounds)
+                score = trie.value.log10(data, bounds)
                 raws = batch.column(3).slice(first, k).cast(pa.binary()).to_pylist()
                 tokens, hots, sums, colds, times = [], [], [], [], []
                 for raw in raws:

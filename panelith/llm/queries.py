@@ -6,6 +6,7 @@ from .common import table
 from .decontam import find_leaks
 from .jaccard import jaccard_components
 from .langid import identify_language
+from .license import scan_licenses
 from .mixing import mix_sources
 from .ppm import score_texts
 from .quality import quality_rules
@@ -25,6 +26,10 @@ def op4_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op5_license_scan(spark, sf_dir):
+    return scan_licenses(table(spark, sf_dir, "documents"))[0]
+
+
 def op6_decontamination(spark, sf_dir):
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,7 +50,7 @@ def op10_secret_scan(spark, sf_dir):
     return scan_secrets(table(spark, sf_dir, "documents")).drop("found", "scanned", "scanned_null")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mix_sources, op4_jaccard_join, op6_decontamination, op7_language, op8_ppm, op9_quality_rules, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mix_sources, op4_jaccard_join, op5_license_scan, op6_decontamination, op7_language, op8_ppm, op9_quality_rules, op10_secret_scan)}
 
 #: None of these can be given as SQL over whole tables; tests/llm holds each against brute force.
 ORACLE_SQL: dict[str, str] = {}

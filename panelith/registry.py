@@ -1,4 +1,6 @@
 """All registered panel queries and their SQL oracles."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from panelith.queries import factors
+
+QUERIES = {**factors.QUERIES}
+ORACLE_SQL = {**factors.ORACLE_SQL}

@@ -195,7 +195,8 @@ def _meetings(rule: Rule, few: int = 8):
     A bucket of a few sets gives its pairs whose sketches allow the threshold. A larger one is
     covered by balls in the sketches' Hamming metric, in which linked sets are within H: centres
     are taken until every set is within H of one, and each centre is joined to the sets within 2 H,
-    among them all partners of the sets at home there. So sets far apart are not joined.
+    among them all partners of the sets at home there. So sets far apart are not joined. What is
+    joined comes out as stars, no more edges than the bucket has sets.
     """
     import pandas as pd
 
@@ -219,12 +220,17 @@ def _meetings(rule: Rule, few: int = 8):
             bits = np.stack([_fold(r, least) for r in raw[lo:hi]])
             most = rule.differ(2 * max(sizes[lo:hi]))
             away = side[lo:hi] == 0 if across else np.ones(hi - lo, bool)
+            root = np.arange(hi - lo)
             while away.any():
                 c = int(away.argmax())
                 d = np.bitwise_count(bits ^ bits[c]).sum(1)
                 away &= d > most
-                for j in np.flatnonzero(d <= 2 * most).tolist():
-                    tried[(ids[lo + c], ids[lo + j])] = True
+                ball = np.unique(root[d <= 2 * most])
+                if len(ball) > 1:
+                    root[np.isin(root, ball)] = ball[0]
+            for i, r in enumerate(root.tolist()):  # a star for each joined part of the bucket
+                if r != i:
+                    tried[(ids[lo + r], ids[lo + i])] = True
         out = [p for p, near in tried.items() if near and p[0] != p[1]]
         return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 

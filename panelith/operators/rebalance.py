@@ -69,7 +69,7 @@ def plan(weights: DataFrame, positions: DataFrame, budget: float, specs: DataFra
         "symbol", "inst_id", "weight", "target_usd", "current_usd", "action",
         F.when(trade, F.when(change > 0, "buy").otherwise("sell")).alias("side"),
         F.when(trade, size).alias("contracts"),
-        F.when(trade, F.col("action").isin("close", "reduce")).alias("reduce_only"),
+        F.coalesce(trade & F.col("action").isin("close", "reduce"), F.lit(False)).alias("reduce_only"),
         F.when(trade, size * F.col("price") * F.col("ct_val") * mult).otherwise(0.0).alias("order_usd"),
         "note",
     )

@@ -27,6 +27,12 @@ def lower_ascii(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def arrow_batches(spark: SparkSession, rows: int = 500, size: str = "8m") -> None:
+    """Bounds what a Python worker holds at once; whole texts come in small batches, light rows in large ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 class Scratch:
     """Intermediate tables as Parquet below spark.checkpoint.dir, which all executors share.
 
@@ -42,6 +48,7 @@ class Scratch:
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark = spark
         self.root = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        arrow_batches(spark)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -111,7 +118,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, blank: np.ndarray = _SPACE
     return splitmix((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, bounds)
 
 
-def text_chunks(texts: pa.Array, limit: int = 1 << 20):
+def text_chunks(texts: pa.Array, limit: int = 1 << 19):
     """Slices of a string column as (first row, bytes, bounds): about ``limit`` bytes, or one longer text.
 
     Null texts come as empty ones.

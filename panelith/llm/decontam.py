@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, splitmix, text_chunks, word_hashes
+from .common import SEPARATORS, arrow_batches, splitmix, text_chunks, word_hashes
 
 BLOCKS = 16
 U = np.uint64
@@ -169,6 +169,7 @@ class Index:
 def item_shards(benchmark: DataFrame, shard_items: int = 4096, shard_bytes: int = 8 << 20) -> list[DataFrame]:
     """The items in shards of about these sizes at most, each small enough to be an index in a task."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    arrow_batches(benchmark.sparkSession)
     count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n = max(1, -(-2 * count // shard_items) if count > shard_items else 1, -(-2 * size // shard_bytes) if size > shard_bytes else 1)
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bitmap, Scratch, components, splitmix, text_chunks, word_hashes
+from .common import Bitmap, Scratch, arrow_batches, components, splitmix, text_chunks, word_hashes
 
 U = np.uint64
 _MULT = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93)]
@@ -413,7 +413,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     a candidate group holds at most ``block_tokens`` shingles, or one larger set; larger buckets than ``bucket`` sets are dealt out in blocks too.
     """
     spark = docs.sparkSession
-    scratch, rule = Scratch(spark, "jaccard"), Rule(num, den)
+    scratch, rule, tasks = Scratch(spark, "jaccard"), Rule(num, den), 1024
     kind = dict(docs.select(id_col).dtypes)[id_col]
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile = scratch.save(plain.mapInArrow(_profile(k, rule), "doc_id long, n long, fp long, signs array<long>"), "profile")
@@ -425,7 +425,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     have = profile.where(F.size("signs") > 0).select("fp", "n", F.explode(F.array_distinct(F.transform("signs", lambda s: s.bitwiseAND(63)))).alias("band"), "signs")
     have = have.select("fp", "n", "band", F.size(F.filter("signs", lambda s: s.bitwiseAND(63) == F.col("band"))).alias("all_signs")).groupBy("fp", "band").agg(F.first("n").alias("n"), F.first("all_signs").alias("all_signs"))
     needy = met.join(have, ["fp", "band"]).withColumn("units", _needs(rule)(F.col("n"), F.col("band").cast("int"))).where("all_signs - met < units")
+    arrow_batches(spark, 20_000)
     needy = scratch.save(needy.select("fp", "band", "units"), "needy")
+    arrow_batches(spark)
     profile = scratch.save(profile.select("doc_id", "n", "fp"), "sizes")
     scratch.drop("profile")
 
@@ -457,7 +459,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = hits.groupBy("sign").agg(F.count("*").alias("members")).where("members > 1")
     side = sets.select("fp", F.size("tokens").cast("long").alias("n"), "sketch")
     met = hits.join(members, "sign").withColumn("parts", F.ceil(F.col("members") / F.lit(bucket)).cast("int"))
-    met = _deal(met, F.xxhash64("sign"), spark.sparkContext.defaultParallelism * 4).join(side, "fp")
+    met = _deal(met, F.xxhash64("sign"), tasks).join(side, "fp")
     edges = met.groupBy("unit").applyInPandas(_meetings(rule), "u long, v long")
     edges = scratch.save(edges, "edges")
     scratch.drop("rows", "steps", "bought", "hits")
@@ -467,7 +469,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sized = groups.join(sets.select("fp", F.size("tokens").alias("size")), groups.node == F.col("fp")).select("fp", "root", "size")
     total = sized.groupBy("root").agg(F.sum("size").alias("tokens"))
     dealt = sized.join(total, "root").withColumn("parts", F.ceil(F.col("tokens") / F.lit(block_tokens)).cast("int"))
-    work = _deal(dealt.select("fp", "root", "parts"), F.xxhash64("root"), spark.sparkContext.defaultParallelism * 4).join(sets.select("fp", "tokens"), "fp")
+    work = _deal(dealt.select("fp", "root", "parts"), F.xxhash64("root"), tasks).join(sets.select("fp", "tokens"), "fp")
     links = scratch.save(work.groupBy("unit").applyInPandas(_verify(rule), "u long, v long"), "links")
     roots = components(scratch, links, "links")
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_batches
+
 _UPPER = bytes(range(65, 91))
 _LETTER = _UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
 _DIGIT = bytes(range(48, 58))
@@ -179,6 +181,7 @@ def _judge(w: np.ndarray, t: np.ndarray, least: float):
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """The field's weights from at most ``sample`` labelled documents of each class."""
     spark = docs.sparkSession
+    arrow_batches(spark)
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = [r for q in (0, 1) for r in marks.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
     if not picked:

@@ -2,8 +2,8 @@
 
 Everything on the scanning path is DataFrame expressions. The rules find assignments, access keys
 and hex runs; the models score every other token: the sum over neighbouring characters of
-log P(random) - log P(ordinary), both first-order Markov models with add-one smoothing over the
-character classes in ``ALPHABET``. They are trained from labelled samples: random strings derived
+log P(random) - log P(ordinary), both first-order Markov models over
+``ALPHABET``, backed by the shares of single characters. They are trained from labelled samples: random strings derived
 from digests by rule (label 1), and the words of a bounded sample of the documents (label 0).
 
 Positions are code points, ends exclusive, and derived without a regex position function: the text
@@ -27,6 +27,9 @@ LEAST_VALUE = 6
 KINDS = ("assign", "access", "hex", "random")
 
 #: Tokens that the models look at, and the characters they know; others count as one more.
+LEAST_TOKEN = 20
+#: Observations that the single characters' shares weigh in a pair's probability.
+BACKING = 8.0
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 
@@ -67,21 +70,22 @@ def random_samples(count: int, seed: str = "sample") -> list[str]:
 
 def log_ratios(random_counts: dict[str, int], plain_counts: dict[str, int]) -> dict[str, float]:
     """log P(b | a, random) - log P(b | a, ordinary) for every character pair a b, from pair counts."""
-    out = {}
-    for a in ALPHABET:
-        ra, pa = sum(random_counts.get(a + b, 0) for b in ALPHABET), sum(plain_counts.get(a + b, 0) for b in ALPHABET)
-        for b in ALPHABET:
-            r = (random_counts.get(a + b, 0) + 1) / (ra + len(ALPHABET))
-            p = (plain_counts.get(a + b, 0) + 1) / (pa + len(ALPHABET))
-            out[a + b] = math.log(r / p)
-    return out
+
+    def model(counts: dict[str, int]) -> dict[str, float]:
+        ends = {b: 0.5 + sum(counts.get(a + b, 0) for a in ALPHABET) for b in ALPHABET}
+        total = sum(ends.values())
+        starts = {a: sum(counts.get(a + b, 0) for b in ALPHABET) for a in ALPHABET}
+        return {a + b: (counts.get(a + b, 0) + BACKING * ends[b] / total) / (starts[a] + BACKING) for a in ALPHABET for b in ALPHABET}
+
+    random, plain = model(random_counts), model(plain_counts)
+    return {p: math.log(random[p] / plain[p]) for p in random}
 
 
 def fit_models(docs: DataFrame, text_col: str = "text", sample: int = 2000, random_count: int = 3000) -> dict[str, float]:
     """Pair ratios, from ``random_count`` generated strings and the words of ``sample`` documents.
 
-    The documents are those with the least text hash, so a rerun takes the same. Words that the
-    rules call secret are left out of the ordinary sample.
+    The documents are those with the least text hash, so a rerun takes the same. The ordinary sample
+    is their words that are too short to be scored themselves, without what the rules call secret.
     """
     randoms: dict[str, int] = {}
     for s in random_samples(random_count):
@@ -93,7 +97,7 @@ def fit_models(docs: DataFrame, text_col: str = "text", sample: int = 2000, rand
     plain: dict[str, int] = {}
     if top is not None:
         chosen = docs.select(text.alias("t")).where(F.col("t").isNotNull() & (F.xxhash64("t") <= top))
-        words = chosen.select(F.explode(F.regexp_extract_all(F.regexp_replace("t", f"{ASSIGN}|{ACCESS}|{HEX}", " "), F.lit("([A-Za-z0-9+/_=-]+)"), F.lit(1))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.length("w") > 1)
+        words = chosen.select(F.explode(F.regexp_extract_all(F.regexp_replace("t", f"{ASSIGN}|{ACCESS}|{HEX}", " "), F.lit("([A-Za-z0-9+/_=-]+)"), F.lit(1))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.length("w").between(2, LEAST_TOKEN - 1))
         pairs = words.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring("w", i, F.lit(2)))).alias("p"))
         plain = {r.p: int(r.n) for r in pairs.groupBy("p").agg(F.sum("n").alias("n")).collect()}  # at most the square of the alphabet
     return log_ratios(randoms, plain)
@@ -149,8 +153,8 @@ def _json(ratios: dict[str, float]) -> str:
 def redact(docs: DataFrame, mark: str = "[SECRET]", **how) -> DataFrame:
     """The documents with every span replaced by ``mark`` and n_chars counted anew; null texts stay null."""
     names = docs.columns
-    others = [c for c in names if c not in ("doc_id", "text")]
-    rows = scan_secrets(docs, keep=tuple(others), **how)
+    others = {c: f"_kept{i}" for i, c in enumerate(names) if c not in ("doc_id", "text")}
+    rows = scan_secrets(docs.withColumnsRenamed(others), keep=tuple(others.values()), **how)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
@@ -159,7 +163,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **how) -> DataFrame:
 
     clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("scanned"), acc["at"] + 1, F.length("scanned"))))
     text = F.when(F.col("scanned_null"), F.lit(None).cast("string")).when(F.size("found") == 0, F.col("scanned")).otherwise(clean)
-    out = rows.withColumn("text", text).drop("found", "scanned", "scanned_null", "spans", "base_sha256", "n_assign", "n_access", "n_hex", "n_random")
+    out = rows.select("doc_id", text.alias("text"), *[F.col(k).alias(c) for c, k in others.items()])
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*names)

@@ -23,21 +23,26 @@ def forward_return(p: Column, h: int) -> Column:
     return F.when(p == 0, infinite).otherwise(F.try_divide(q, p) - 1)
 
 
-def global_ranks(df: DataFrame, column: str, out: str, buckets: int = 128) -> DataFrame:
-    """``df`` with the average rank of ``column`` among all rows, from 1, exactly and without one sorted task.
+def global_ranks(df: DataFrame, columns: list[str], buckets: int = 128) -> DataFrame:
+    """``df`` with each of ``columns`` replaced by its average rank among all rows, from 1.
 
-    Rows fall in value ranges; the rows before a range are counted first, ranks are taken within it.
+    Exact, and without one sorted task: rows fall in value ranges; the rows before a range are counted
+    first, ranks are taken within it. The ranges come from approximate quantiles, one pass for all columns.
     """
-    cuts = df.select(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], 2000)).first()[0] or []
-    edges = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    rows = df.withColumn("_range", F.size(F.filter(edges, lambda e: e < F.col(column))))
-    sizes = rows.groupBy("_range").agg(F.count("*").alias("_size"))
-    before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_before"))  # one row for each range
-    rows = rows.join(F.broadcast(offsets), F.col("_range") == F.col("_r"))
-    ties = F.count("*").over(Window.partitionBy("_range", column))
-    place = F.rank().over(Window.partitionBy("_range").orderBy(column))
-    return rows.withColumn(out, F.col("_before") + place + (ties - 1) / 2).drop("_range", "_r", "_before")
+    points = [i / buckets for i in range(1, buckets)]
+    cuts = df.select(*[F.percentile_approx(c, points, 1000).alias(c) for c in columns]).first()
+    for c in columns:
+        edges = F.array(*[F.lit(float(e)) for e in sorted(set(cuts[c] or []))]).cast("array<double>")
+        value = F.col(c)
+        rows = df.withColumn("_range", F.size(F.filter(edges, lambda e: e < value)))  # noqa: B023  called at once
+        sizes = rows.groupBy("_range").agg(F.count("*").alias("_size"))
+        before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+        offsets = sizes.select(F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_before"))  # one row for each range
+        rows = rows.join(F.broadcast(offsets), F.col("_range") == F.col("_r"))
+        ties = F.count("*").over(Window.partitionBy("_range", c))
+        place = F.rank().over(Window.partitionBy("_range").orderBy(c))
+        df = rows.withColumn(c, F.col("_before") + place + (ties - 1) / 2).drop("_range", "_r", "_before")
+    return df
 
 
 def kendall_tau_b(x: np.ndarray, y: np.ndarray) -> float:
@@ -135,8 +140,7 @@ class Analyzer:
         names = [f"s{i}" for i in range(len(signals))]
         df = signals[0].panel.compute(**dict(zip(names, signals))).select(*names).dropna()
         if method == "spearman":
-            for c in names:
-                df = global_ranks(df, c, f"k{c}").drop(c).withColumnRenamed(f"k{c}", c)
+            df = global_ranks(df.persist(), names)
         pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
         if method == "kendall":
             values = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(names[i]).alias("x"), F.col(names[j]).alias("y")) for i, j in pairs if i < j])

@@ -7,7 +7,8 @@ fold has a closed form, ``zero_cost_equity``, which is a plain window product.
 
 from __future__ import annotations
 
-import numpy as np
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,11 +21,22 @@ STRATEGY, YEAR = "strategy", 365.0
 DUST = 1e-10
 
 
-def _periods(factor: Factor, name: str) -> DataFrame:
-    """(ts, map of symbol to value) of each period; the map is NULL where a symbol lacks its value."""
-    df = factor.frame("x")
-    whole = F.map_from_entries(F.array_sort(F.collect_list(F.struct(SYMBOL, "x"))))
-    return df.groupBy(TS).agg(F.when(F.count("x") == F.count(F.lit(1)), whole).alias(name))
+def _periods(factors: dict[str, Factor], name: str) -> DataFrame:
+    """(strategy, ts, map of symbol to value) of each period; the map is NULL where a symbol lacks its value.
+
+    Factors of one grid are computed together, in one plan.
+    """
+    grids: dict[int, list[str]] = {}
+    for n, f in factors.items():
+        grids.setdefault(id(f.panel), []).append(n)
+    parts = []
+    for names in grids.values():
+        df = factors[names[0]].panel.compute(**{f"c{i}": factors[n] for i, n in enumerate(names)})
+        cells = F.explode(F.array(*[F.struct(F.lit(n).alias(STRATEGY), F.col(f"c{i}").alias("x")) for i, n in enumerate(names)]))
+        rows = df.select(TS, SYMBOL, cells.alias("c")).select("c.*", TS, SYMBOL)
+        whole = F.map_from_entries(F.array_sort(F.collect_list(F.struct(SYMBOL, "x"))))
+        parts.append(rows.groupBy(STRATEGY, TS).agg(F.when(F.count("x") == F.count(F.lit(1)), whole).alias(name)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def weights(values: dict[str, float], as_is: bool) -> dict[str, float]:
@@ -96,12 +108,8 @@ class Backtester:
         self.market = neutralization.lower() == "market"
 
     def _days(self) -> DataFrame:
-        prices = _periods(self.price, "prices")
-        parts = [_periods(f, "factors").withColumn(STRATEGY, F.lit(n)) for n, f in self.strategies.items()]
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        return rows.join(prices, TS)  # the dates common to both grids
+        prices = _periods({"price": self.price}, "prices").drop(STRATEGY)
+        return _periods(self.strategies, "factors").join(prices, TS)  # the dates common to both grids
 
     def _fold(self, kind: str) -> DataFrame:
         capital, buy, sell, full, market = self.capital, self.buy, self.sell, self.full, self.market
@@ -128,14 +136,8 @@ class Backtester:
 
     def skipped_dates(self) -> DataFrame:
         """Strategy dates without all values, after the first with."""
-        parts = []
-        for n, f in self.strategies.items():
-            rows = _periods(f, "v").withColumn("seen", F.count("v").over(Window.orderBy(TS).rowsBetween(Window.unboundedPreceding, 0)))
-            parts.append(rows.where("v is null and seen > 0").select(F.lit(n).alias(STRATEGY), TS))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        rows = _periods(self.strategies, "v").withColumn("seen", F.count("v").over(_upto()))
+        return rows.where("v is null and seen > 0").select(STRATEGY, TS)
 
     def returns(self) -> DataFrame:
         return returns_of(self.equity())

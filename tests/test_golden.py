@@ -84,8 +84,9 @@ def test_correlations(spark):
 
 def test_global_ranks(spark):
     v = [random.Random(3).randint(0, 50) / 7 for _ in range(500)]
-    rows = global_ranks(spark.createDataFrame([(x,) for x in v], "x double"), "x", "r", buckets=8).toPandas()
-    assert np.allclose(rows.r, rows.x.rank())
+    rows = global_ranks(spark.createDataFrame([(x, -x, x) for x in v], "x double, y double, v double"), ["x", "y"], buckets=8).toPandas()
+    assert np.allclose(rows.x, rows.v.rank())
+    assert np.allclose(rows.y, (-rows.v).rank())
 
 
 def pair(spark, hole=None, flat=False):

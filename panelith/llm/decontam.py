@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import SEPARATORS, arrow_batches, splitmix, text_chunks, word_hashes
 
-BLOCKS = 16
+BLOCKS = 64
 U = np.uint64
 
 
@@ -138,20 +138,22 @@ class Index:
         term = self.lookup(words)
         known = term >= 0
         total = int(pieces.sum())
-        keys = np.unique(piece[known] * np.int64(len(self.terms)) + term[known])
-        piece_of, term_of = keys // len(self.terms), keys % len(self.terms)
-        cut = np.searchsorted(piece_of, np.arange(total + 1))
+        text_of = np.repeat(np.arange(len(n)), pieces)
+        # A window is a piece and the next of the same text; each term counts once in it.
+        width = np.int64(len(self.terms))
+        known = term >= 0
+        keys = np.unique(piece[known] * width + term[known])
+        again = keys[keys // width > first_piece[text_of[keys // width]]] - width
+        keys = np.unique(np.concatenate([keys, again]))
+        term_of = keys % width
+        cut = np.searchsorted(keys // width, np.arange(total + 1))
         bound = np.zeros((total, BLOCKS), np.float32)
         full = np.flatnonzero(np.diff(cut))
         if len(full):
             bound[full] = np.add.reduceat(self.bound[term_of], cut[:-1][full], axis=0)
-        pair = bound.copy()  # a window is a piece and the next of the same text
-        text_of = np.repeat(np.arange(len(n)), pieces)
-        same = text_of[:-1] == text_of[1:]
-        pair[:-1][same] += bound[1:][same]
-        for p, block in zip(*np.nonzero(pair >= threshold)):
-            text, two = text_of[p], p + 1 < total and text_of[p + 1] == text_of[p]
-            terms = np.unique(term_of[cut[p] : cut[p + 1 + two]]).tolist()
+        for p, block in zip(*np.nonzero(bound >= threshold)):
+            text = text_of[p]
+            terms = term_of[cut[p] : cut[p + 1]].tolist()
             found = self.retrieve(terms, int(block), threshold)
             if not found:
                 continue

@@ -61,36 +61,41 @@ def padded(data: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndarray
     return flat, (where, start)
 
 
-def _grams(order: int, batch_bytes: int):
-    """(context, symbol, n) over about ``batch_bytes`` of text at a time."""
+def _grams(order: int, batch_bytes: int, most: int = 600_000):
+    """(context, symbol, n) over about ``batch_bytes`` of text at a time, merged whenever more than ``most`` rows wait."""
 
     def run(batches):
-        held, size = [], 0
-
+        held, size, waiting = [], 0, 0
         for batch in batches:
             for _, data, bounds in text_chunks(batch.column(0)):
                 context, symbol = gram_keys(data, bounds, order)
                 keys, n = np.unique(context * 512 + symbol, return_counts=True)
-                held.append((keys >> 9, keys & 511, n))
+                held.append((keys, n))
                 size += len(data)
+                waiting += len(keys)
+                if waiting > most:
+                    held = [_merged(held)]
+                    waiting = 0
                 if size >= batch_bytes:
-                    yield _merged(held)
-                    held, size = [], 0
+                    yield _gram_rows(held)
+                    held, size, waiting = [], 0, 0
         if held:
-            yield _merged(held)
+            yield _gram_rows(held)
 
     return run
 
 
-def _merged(held) -> pa.RecordBatch:
-    context, symbol, n = (np.concatenate(c) for c in zip(*held))
-    key = context * 512 + symbol
-    order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    total = np.add.reduceat(n, first)
-    key = key[first]
-    return pa.RecordBatch.from_arrays([pa.array(key >> 9), pa.array((key & 511).astype(np.int32)), pa.array(total)], ["context", "symbol", "n"])
+def _gram_rows(held) -> pa.RecordBatch:
+    keys, n = _merged(held)
+    return pa.RecordBatch.from_arrays([pa.array(keys >> 9), pa.array((keys & 511).astype(np.int32)), pa.array(n)], ["context", "symbol", "n"])
+
+
+def _merged(held) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = (np.concatenate(c) for c in zip(*held))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n, first)
 
 
 class Trie:
@@ -177,7 +182,7 @@ class Trie:
         return sums[bounds[1:]] - sums[bounds[:-1]] + last[:n]
 
 
-def fit_trie(texts: DataFrame, scratch: Scratch, order: int = 5, share: int = 120_000, batch_bytes: int = 8 << 20) -> Trie:
+def fit_trie(texts: DataFrame, scratch: Scratch, order: int = 5, share: int = 120_000, batch_bytes: int = 64 << 20) -> Trie:
     """The trie of all ``texts`` (column text)."""
     grams = scratch.save(texts.mapInArrow(_grams(order, batch_bytes), "context long, symbol int, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n")), "grams")
     total = grams.agg(F.sum("n")).first()[0] or 0
@@ -217,7 +222,7 @@ def _token_counts(batch_rows: int = 400_000):
     return run
 
 
-def score_texts(docs: DataFrame, order: int = 5, share: int = 120_000, hot: int = 50_000) -> DataFrame:
+def score_texts(docs: DataFrame, order: int = 5, share: int = 120_000, hot: int = 200_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ppm")
@@ -231,11 +236,12 @@ def score_texts(docs: DataFrame, order: int = 5, share: int = 120_000, hot: int
     # Tokens with a share of at least 1 / hot of all: at most ``hot`` of them, whatever the corpus.
     often = {bytes(r.token): int(r.n) for r in vocabulary.where(F.col("n") * hot >= n_all).collect()}
     log_total, end_part = math.log10(n_all + v + 1), math.log10(ends + 1)
+    logs = spark.sparkContext.broadcast({t: math.log10(c + 1) for t, c in often.items()})
     trie = spark.sparkContext.broadcast(fit_trie(train, scratch, order, share))  # once for each worker
     names = ["row", "doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "score", "cold", "times"]
 
     def run(batches):
-        logs = {t: math.log10(c + 1) for t, c in often.items()}
+        known = logs.value
         for batch in batches:
             for first, data, bounds in text_chunks(batch.column(3)):
                 k = len(bounds) - 1
@@ -246,7 +252,7 @@ def score_texts(docs: DataFrame, order: int = 5, share: int = 120_000, hot: int
                     count = Counter(raw.lower().split())
                     n_hot, total, cold, many = 1 if ends else 0, end_part, [], []
                     for t, n in count.items():
-                        x = logs.get(t)
+                        x = known.get(t)
                         if x is None:
                             cold.append(t)
                             many.append(n)

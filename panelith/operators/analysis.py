@@ -31,18 +31,23 @@ def global_ranks(df: DataFrame, columns: list[str], buckets: int = 128) -> DataF
     """
     points = [i / buckets for i in range(1, buckets)]
     cuts = df.select(*[F.percentile_approx(c, points, 1000).alias(c) for c in columns]).first()
+
+    def place(c: str):
+        edges, value = F.array(*[F.lit(float(e)) for e in sorted(set(cuts[c] or []))]).cast("array<double>"), F.col(c)
+        return F.size(F.filter(edges, lambda e: e < value))
+
+    base = df.withColumns({f"_in_{c}": place(c) for c in columns})
+    out = base
     for c in columns:
-        edges = F.array(*[F.lit(float(e)) for e in sorted(set(cuts[c] or []))]).cast("array<double>")
-        value = F.col(c)
-        rows = df.withColumn("_range", F.size(F.filter(edges, lambda e: e < value)))  # noqa: B023  called at once
-        sizes = rows.groupBy("_range").agg(F.count("*").alias("_size"))
-        before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-        offsets = sizes.select(F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_before"))  # one row for each range
-        rows = rows.join(F.broadcast(offsets), F.col("_range") == F.col("_r"))
-        ties = F.count("*").over(Window.partitionBy("_range", c))
-        place = F.rank().over(Window.partitionBy("_range").orderBy(c))
-        df = rows.withColumn(c, F.col("_before") + place + (ties - 1) / 2).drop("_range", "_r", "_before")
-    return df
+        at = f"_in_{c}"
+        sizes = base.groupBy(at).agg(F.count("*").alias("_size"))
+        before = F.sum("_size").over(Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
+        offsets = sizes.select(F.col(at).alias("_r"), F.coalesce(before, F.lit(0)).alias("_before"))  # one row for each range
+        out = out.join(F.broadcast(offsets), F.col(at) == F.col("_r"))
+        ties = F.count("*").over(Window.partitionBy(at, c))
+        rank = F.rank().over(Window.partitionBy(at).orderBy(c))
+        out = out.withColumn(c, F.col("_before") + rank + (ties - 1) / 2).drop(at, "_r", "_before")
+    return out
 
 
 def kendall_tau_b(x: np.ndarray, y: np.ndarray) -> float:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from contextvars import ContextVar
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,42 @@ EPSILON = 1e-10
 TOLERANCE = 1e-6
 
 
+class Kept:
+    """Window expressions met while factors are compiled: each becomes a column once, however often it is used."""
+
+    def __init__(self):
+        self.names: dict[str, str] = {}
+        self.new: list[tuple[str, Column]] = []
+
+    def keep(self, e: Column) -> Column:
+        key = str(e)
+        if key not in self.names:
+            self.names[key] = f"_w{len(self.names)}"
+            self.new.append((self.names[key], e))
+        return F.col(self.names[key])
+
+    def take(self) -> list[dict[str, Column]]:
+        """The new columns, in steps none of which uses a column of its own."""
+        steps: list[dict[str, Column]] = []
+        for name, e in self.new:
+            used = set(re.findall(r"\b_w\d+\b", str(e)))
+            if not steps or used & steps[-1].keys():
+                steps.append({})
+            steps[-1][name] = e
+        self.new = []
+        return steps
+
+
+KEPT: ContextVar[Kept | None] = ContextVar("kept", default=None)
+
+
+def over(e: Column, window) -> Column:
+    """``e`` over a window; while factors are compiled, a reference to the column that holds it."""
+    e = e.over(window)
+    kept = KEPT.get()
+    return e if kept is None else kept.keep(e)
+
+
 def cross() -> Window:
     """All symbols of one timestamp."""
     return Window.partitionBy(TS)
@@ -38,12 +77,12 @@ def finite(e: Column) -> Column:
 
 def clean(x: Column, e: Column) -> Column:
     """``e`` where no symbol of the timestamp lacks ``x``."""
-    return F.when(F.count(x).over(cross()) == F.count(F.lit(1)).over(cross()), e)
+    return F.when(over(F.count(x), cross()) == over(F.count(F.lit(1)), cross()), e)
 
 
 def full(x: Column, w: int, e: Column) -> Column:
     """``e`` where the window is filled and lacks nothing."""
-    return F.when(F.count(x).over(trailing(w)) == w, e)
+    return F.when(over(F.count(x), trailing(w)) == w, e)
 
 
 def safe_divide(x: Column, y: Column, eps: float = EPSILON) -> Column:

@@ -7,30 +7,30 @@ import math
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from .base import EPSILON, SYMBOL, TOLERANCE, TS, clean, cross, no_nan
+from .base import EPSILON, SYMBOL, TOLERANCE, TS, clean, cross, no_nan, over
 from .elementwise import ppf
 
 
 def rank(x: Column) -> Column:
     """Share of the symbols, ties at their lowest; NULL for the period if any is missing or all are equal."""
     c = cross()
-    place = F.rank().over(c.orderBy(x.asc_nulls_last())) / F.count(F.lit(1)).over(c)
-    return clean(x, F.when(F.min(x).over(c) < F.max(x).over(c), place))
+    place = over(F.rank(), c.orderBy(x.asc_nulls_last())) / over(F.count(F.lit(1)), c)
+    return clean(x, F.when(over(F.min(x), c) < over(F.max(x), c), place))
 
 
 def mean(x: Column) -> Column:
-    return clean(x, F.avg(x).over(cross()))
+    return clean(x, over(F.avg(x), cross()))
 
 
 def median(x: Column) -> Column:
-    return clean(x, F.median(x).over(cross()))
+    return clean(x, over(F.median(x), cross()))
 
 
 def normalize(x: Column, use_std: bool = False, limit: float = 0.0) -> Column:
     c = cross()
-    e = x - F.avg(x).over(c)
+    e = x - over(F.avg(x), c)
     if use_std:
-        sd = F.stddev_samp(x).over(c)
+        sd = over(F.stddev_samp(x), c)
         e = F.when((sd > 0) & ~F.isnan(sd), e / sd)
     if limit != 0:
         e = F.when(e.isNotNull(), F.greatest(F.lit(-float(limit)), F.least(F.lit(float(limit)), e)))
@@ -49,12 +49,12 @@ def scale(x: Column, scale: float = 1.0, long_scale: float | None = None, short_
     """
     c = cross()
     if long_scale is None and short_scale is None:
-        total = F.sum(F.abs(x)).over(c)
+        total = over(F.sum(F.abs(x)), c)
         return F.when(total == 0, x).otherwise(F.try_divide(x, total) * float(scale))
     up = float(scale if long_scale is None else long_scale)
     down = float(scale if short_scale is None else short_scale)
-    longs = F.sum(F.when(x > 0, x).otherwise(0.0)).over(c)
-    shorts = F.sum(F.when(x < 0, -x).otherwise(0.0)).over(c)
+    longs = over(F.sum(F.when(x > 0, x).otherwise(0.0)), c)
+    shorts = over(F.sum(F.when(x < 0, -x).otherwise(0.0)), c)
     positive = x if up <= 0 else F.try_divide(x, longs) * up
     negative = x if down <= 0 else F.try_divide(x, shorts) * -down
     return F.when(x > 0, positive).when(x < 0, negative).otherwise(x)
@@ -63,8 +63,8 @@ def scale(x: Column, scale: float = 1.0, long_scale: float | None = None, short_
 def quantile(x: Column, driver: str = "gaussian", sigma: float = 1.0) -> Column:
     """Ranks (ties by symbol) pressed into the open unit interval and mapped to a distribution."""
     c = cross()
-    n = F.count(x).over(c)
-    r = F.row_number().over(c.orderBy(x.asc_nulls_last(), SYMBOL)) / n
+    n = over(F.count(x), c)
+    r = over(F.row_number(), c.orderBy(x.asc_nulls_last(), SYMBOL)) / n
     squeeze = lambda e: F.greatest(F.lit(TOLERANCE), F.least(F.lit(1 - TOLERANCE), e))
     p = squeeze(1.0 / n + squeeze(r) * (1.0 - 2.0 / n))
     mapped = ppf(driver, p)
@@ -76,18 +76,18 @@ def spread(x: Column, pct: float) -> Column:
     if not 0 < pct < 1:
         raise ValueError(f"pct must lie between 0 and 1: {pct}")
     c = cross()
-    size = F.count(F.lit(1)).over(c)
+    size = over(F.count(F.lit(1)), c)
     picked = F.greatest(F.lit(1), F.floor(size * float(pct)))
-    place = F.row_number().over(c.orderBy(x.asc_nulls_last(), SYMBOL))
+    place = over(F.row_number(), c.orderBy(x.asc_nulls_last(), SYMBOL))
     side = F.when(place <= picked, -0.5).when(place > size - picked, 0.5).otherwise(0.0)
-    return F.when(F.count(x).over(c) < 2, 0.0).otherwise(side)
+    return F.when(over(F.count(x), c) < 2, 0.0).otherwise(side)
 
 
 def signal(x: Column) -> Column:
     """Demeaned and divided by the total of absolute values: half long, half short."""
     c = cross()
-    centred = x - F.avg(x).over(c)
-    total = F.sum(F.abs(centred)).over(c)
+    centred = x - over(F.avg(x), c)
+    total = over(F.sum(F.abs(centred)), c)
     return clean(x, F.when(total >= EPSILON, centred / total))
 
 
@@ -96,9 +96,9 @@ def vector_neut(x: Column, y: Column) -> Column:
     c = cross()
     both = x.isNotNull() & y.isNotNull()
     yy, xy = F.when(both, y), F.when(both, x)
-    square = F.sum(yy * yy).over(c)
-    usable = (F.count(yy).over(c) >= 2) & (F.stddev_pop(yy).over(c) >= F.greatest(F.lit(EPSILON), 1e-4 * F.abs(F.avg(yy).over(c)))) & (square >= EPSILON)
-    return F.when(both & usable, x - F.try_divide(F.sum(xy * yy).over(c), square) * y).otherwise(x)
+    square = over(F.sum(yy * yy), c)
+    usable = (over(F.count(yy), c) >= 2) & (over(F.stddev_pop(yy), c) >= F.greatest(F.lit(EPSILON), 1e-4 * F.abs(over(F.avg(yy), c)))) & (square >= EPSILON)
+    return F.when(both & usable, x - F.try_divide(over(F.sum(xy * yy), c), square) * y).otherwise(x)
 
 
 def condition_2x2(n: Column, s: Column, ss: Column) -> Column:
@@ -115,11 +115,11 @@ def regression_neut(y: Column, x: Column) -> Column:
     c = cross()
     both = y.isNotNull() & x.isNotNull()
     a, b = F.when(both, y), F.when(both, x)
-    n, s, ss = F.count(b).over(c).cast("double"), F.sum(b).over(c), F.sum(b * b).over(c)
+    n, s, ss = over(F.count(b), c).cast("double"), over(F.sum(b), c), over(F.sum(b * b), c)
     cond = condition_2x2(n, s, ss)
-    mean_x, mean_y = s / n, F.avg(a).over(c)
-    sxx = F.sum((b - mean_x) * (b - mean_x)).over(c)
-    slope = F.try_divide(F.sum((b - mean_x) * (a - mean_y)).over(c), sxx)
+    mean_x, mean_y = s / n, over(F.avg(a), c)
+    sxx = over(F.sum((b - mean_x) * (b - mean_x)), c)
+    slope = F.try_divide(over(F.sum((b - mean_x) * (a - mean_y)), c), sxx)
     return F.when(both & (n >= 2) & (cond <= 1e20), (y - mean_y) - slope * (x - mean_x))
 
 
@@ -135,50 +135,50 @@ def _in(g: Column, e: Column) -> Column:
 
 
 def group_neutralize(x: Column, g: Column) -> Column:
-    return _in(g, x - F.avg(x).over(_grouped(g)))
+    return _in(g, x - over(F.avg(x), _grouped(g)))
 
 
 def group_mean(x: Column, g: Column) -> Column:
     """For every member, those without a value too."""
-    return _in(g, F.avg(x).over(_grouped(g)))
+    return _in(g, over(F.avg(x), _grouped(g)))
 
 
 def group_median(x: Column, g: Column) -> Column:
-    return _in(g, F.median(x).over(_grouped(g)))
+    return _in(g, over(F.median(x), _grouped(g)))
 
 
 def group_rank(x: Column, g: Column) -> Column:
     """Share of the members with a value, ties at their average."""
     w = _grouped(g)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(TS, g, x))
-    place = F.rank().over(w.orderBy(x.asc_nulls_last())) + (ties - 1) / 2
-    return _in(g, F.when(x.isNotNull(), F.try_divide(place, F.count(x).over(w))))
+    ties = over(F.count(F.lit(1)), Window.partitionBy(TS, g, x))
+    place = over(F.rank(), w.orderBy(x.asc_nulls_last())) + (ties - 1) / 2
+    return _in(g, F.when(x.isNotNull(), F.try_divide(place, over(F.count(x), w))))
 
 
 def group_scale(x: Column, g: Column) -> Column:
     """To 0..1 within the group; 0.5 for every member where there is no range."""
     w = _grouped(g)
-    low, span = F.min(x).over(w), F.max(x).over(w) - F.min(x).over(w)
+    low, span = over(F.min(x), w), over(F.max(x), w) - over(F.min(x), w)
     return _in(g, F.when(span.isNull() | (span <= EPSILON), 0.5).otherwise(F.try_divide(x - low, span)))
 
 
 def group_zscore(x: Column, g: Column) -> Column:
     w = _grouped(g)
-    sd = F.stddev_samp(x).over(w)
-    return _in(g, F.when((sd > EPSILON) & ~F.isnan(sd), F.try_divide(x - F.avg(x).over(w), sd)))
+    sd = over(F.stddev_samp(x), w)
+    return _in(g, F.when((sd > EPSILON) & ~F.isnan(sd), F.try_divide(x - over(F.avg(x), w), sd)))
 
 
 def group_normalize(x: Column, g: Column, scale: float = 1.0) -> Column:
     """To a total of absolute values; 0 for every member where that is nothing."""
-    total = F.coalesce(F.sum(F.abs(x)).over(_grouped(g)), F.lit(0.0))
+    total = F.coalesce(over(F.sum(F.abs(x)), _grouped(g)), F.lit(0.0))
     return _in(g, F.when(total <= EPSILON, 0.0).otherwise(F.try_divide(x, total) * float(scale)))
 
 
 def average_rank(x: Column, within: Column | None = None) -> Column:
     """Average rank among the values of a timestamp, from 1; NULL for missing values."""
     c = cross()
-    ties = F.count(F.lit(1)).over(Window.partitionBy(TS, x))
-    return F.when(x.isNotNull(), F.rank().over(c.orderBy(x.asc_nulls_last())) + (ties - 1) / 2)
+    ties = over(F.count(F.lit(1)), Window.partitionBy(TS, x))
+    return F.when(x.isNotNull(), over(F.rank(), c.orderBy(x.asc_nulls_last())) + (ties - 1) / 2)
 
 
 NAN = math.nan

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import EPSILON, TOLERANCE, finite, full, no_nan, safe_divide, series, trailing
+from .base import EPSILON, TOLERANCE, finite, full, no_nan, over, safe_divide, series, trailing
 from .cross import condition_2x2
 from .elementwise import ppf
 
 
 def delay(x: Column, w: int) -> Column:
-    return F.lag(x, w).over(series()) if w else x
+    return over(F.lag(x, w), series()) if w else x
 
 
 def delta(x: Column, w: int) -> Column:
@@ -20,39 +20,39 @@ def delta(x: Column, w: int) -> Column:
 
 def step(x: Column, start: int = 0) -> Column:
     """The grid row's number; the values do not matter."""
-    return (F.row_number().over(series()) - 1 + start).cast("double")
+    return (over(F.row_number(), series()) - 1 + start).cast("double")
 
 
 def total(x: Column, w: int) -> Column:
-    return full(x, w, F.sum(x).over(trailing(w)))
+    return full(x, w, over(F.sum(x), trailing(w)))
 
 
 def product(x: Column, w: int) -> Column:
-    return full(x, w, F.product(x).over(trailing(w)))
+    return full(x, w, over(F.product(x), trailing(w)))
 
 
 def mean(x: Column, w: int) -> Column:
-    return full(x, w, F.avg(x).over(trailing(w)))
+    return full(x, w, over(F.avg(x), trailing(w)))
 
 
 def median(x: Column, w: int) -> Column:
-    return full(x, w, F.percentile(x, 0.5).over(trailing(w)))
+    return full(x, w, over(F.percentile(x, 0.5), trailing(w)))
 
 
 def std_dev(x: Column, w: int) -> Column:
-    return full(x, w, no_nan(F.stddev_samp(x).over(trailing(w))))
+    return full(x, w, no_nan(over(F.stddev_samp(x), trailing(w))))
 
 
 def minimum(x: Column, w: int) -> Column:
-    return full(x, w, F.min(x).over(trailing(w)))
+    return full(x, w, over(F.min(x), trailing(w)))
 
 
 def maximum(x: Column, w: int) -> Column:
-    return full(x, w, F.max(x).over(trailing(w)))
+    return full(x, w, over(F.max(x), trailing(w)))
 
 
 def _values(x: Column, w: int) -> Column:
-    return F.collect_list(x).over(trailing(w))
+    return over(F.collect_list(x), trailing(w))
 
 
 def arg_max(x: Column, w: int) -> Column:
@@ -69,7 +69,7 @@ def arg_min(x: Column, w: int) -> Column:
 def count_nans(x: Column, w: int) -> Column:
     """Missing values in the frame, which may be short; NULL if all are."""
     t = trailing(w)
-    return F.when(F.count(x).over(t) >= 1, (F.count(F.lit(1)).over(t) - F.count(x).over(t)).cast("double"))
+    return F.when(over(F.count(x), t) >= 1, (over(F.count(F.lit(1)), t) - over(F.count(x), t)).cast("double"))
 
 
 def av_diff(x: Column, w: int) -> Column:
@@ -80,7 +80,7 @@ def rank(x: Column, w: int) -> Column:
     """Share of the window not above the current value; NULL if all are equal."""
     t = trailing(w)
     below = F.size(F.filter(_values(x, w), lambda v: v <= x))
-    return full(x, w, F.when(F.min(x).over(t) < F.max(x).over(t), below / F.lit(float(w))))
+    return full(x, w, F.when(over(F.min(x), t) < over(F.max(x), t), below / F.lit(float(w))))
 
 
 def scale(x: Column, w: int, constant: float = 0.0) -> Column:
@@ -100,7 +100,7 @@ def quantile(x: Column, w: int, driver: str = "gaussian") -> Column:
 def kurtosis(x: Column, w: int) -> Column:
     """Population excess kurtosis."""
     t = trailing(w)
-    return full(x, w, F.when((F.min(x).over(t) < F.max(x).over(t)) & (F.stddev_pop(x).over(t) >= EPSILON), F.kurtosis(x).over(t)))
+    return full(x, w, F.when((over(F.min(x), t) < over(F.max(x), t)) & (over(F.stddev_pop(x), t) >= EPSILON), over(F.kurtosis(x), t)))
 
 
 def skewness(x: Column, w: int) -> Column:
@@ -119,7 +119,7 @@ def backfill(x: Column, w: int, k: int = 1) -> Column:
 
 def _decay(x: Column, w: int, weight, dense: bool) -> tuple[Column, Column]:
     """Weighted total and weight of a frame that may be short; ``weight(age, size)``, age 0 the newest."""
-    frame = F.collect_list(F.struct(x.alias("x"))).over(trailing(w))
+    frame = over(F.collect_list(F.struct(x.alias("x"))), trailing(w))
     at = F.transform(frame, lambda s, i: F.struct(s["x"].alias("x"), weight(F.size(frame) - 1 - i, F.size(frame)).alias("w")))
     used = F.filter(at, lambda s: s["x"].isNotNull()) if dense else at
     top = F.aggregate(used, F.lit(0.0), lambda a, s: a + F.coalesce(s["x"], F.lit(0.0)) * s["w"])
@@ -131,7 +131,7 @@ def decay_exp_window(x: Column, w: int, factor: float = 0.5, nan: bool = True) -
     if not 0 < factor < 1:
         raise ValueError(f"factor must lie between 0 and 1: {factor}")
     top, weight = _decay(x, w, lambda age, _: F.pow(F.lit(float(factor)), age.cast("double")), nan)
-    return F.when(F.count(x).over(trailing(w)) >= 1, F.try_divide(top, weight)).otherwise(F.lit(None if nan else 0.0).cast("double"))
+    return F.when(over(F.count(x), trailing(w)) >= 1, F.try_divide(top, weight)).otherwise(F.lit(None if nan else 0.0).cast("double"))
 
 
 def decay_linear(x: Column, w: int, dense: bool = False) -> Column:
@@ -141,29 +141,29 @@ def decay_linear(x: Column, w: int, dense: bool = False) -> Column:
     """
     t = trailing(w)
     if dense:
-        frame = F.collect_list(x).over(t)
+        frame = over(F.collect_list(x), t)
         parts = F.transform(frame, lambda v, i: F.struct(v.alias("x"), (F.size(frame) - i).cast("double").alias("w")))
     else:
-        frame = F.collect_list(F.struct(x.alias("x"))).over(t)
+        frame = over(F.collect_list(F.struct(x.alias("x"))), t)
         parts = F.transform(frame, lambda s, i: F.struct(F.coalesce(s["x"], F.lit(0.0)).alias("x"), (F.size(frame) - i).cast("double").alias("w")))
     top = F.aggregate(parts, F.lit(0.0), lambda a, s: a + s["x"] * s["w"])
     weight = F.aggregate(parts, F.lit(0.0), lambda a, s: a + s["w"])
-    return F.when(F.count(x).over(t) >= 1, F.try_divide(top, weight))
+    return F.when(over(F.count(x), t) >= 1, F.try_divide(top, weight))
 
 
 def _pair(x: Column, y: Column, w: int, e: Column) -> Column:
     both = F.when(x.isNotNull() & y.isNotNull(), F.lit(1))
-    return F.when(F.count(both).over(trailing(w)) == w, no_nan(e))
+    return F.when(over(F.count(both), trailing(w)) == w, no_nan(e))
 
 
 def covariance(x: Column, y: Column, w: int) -> Column:
-    return _pair(x, y, w, F.covar_samp(x, y).over(trailing(w)))
+    return _pair(x, y, w, over(F.covar_samp(x, y), trailing(w)))
 
 
 def corr(x: Column, y: Column, w: int) -> Column:
     t = trailing(w)
-    varied = (F.min(x).over(t) < F.max(x).over(t)) & (F.min(y).over(t) < F.max(y).over(t))
-    e = F.try_divide(F.covar_samp(x, y).over(t), F.stddev_samp(x).over(t) * F.stddev_samp(y).over(t))
+    varied = (over(F.min(x), t) < over(F.max(x), t)) & (over(F.min(y), t) < over(F.max(y), t))
+    e = F.try_divide(over(F.covar_samp(x, y), t), over(F.stddev_samp(x), t) * over(F.stddev_samp(y), t))
     return _pair(x, y, w, F.when(varied, e))
 
 
@@ -193,13 +193,13 @@ def vr(x: Column, w: int, k: int = 2) -> Column:
 
 def reversal_count(x: Column, w: int) -> Column:
     """Share of changes of direction among neighbouring differences; frames may be short."""
-    frame = F.collect_list(F.struct(x.alias("x"))).over(trailing(w))
+    frame = over(F.collect_list(F.struct(x.alias("x"))), trailing(w))
     pairs = F.zip_with(F.slice(frame, 2, w), F.slice(frame, 1, F.greatest(F.lit(0), F.size(frame) - 1)), lambda b, a: b["x"] - a["x"])
     moves = F.transform(F.filter(pairs, lambda d: d.isNotNull()), lambda d: F.signum(d))
     n = F.size(moves)
     turns = F.zip_with(F.slice(moves, 2, w), F.slice(moves, 1, F.greatest(F.lit(0), n - 1)), lambda b, a: F.when(b != a, 1).otherwise(0))
     count = F.aggregate(turns, F.lit(0), lambda a, t: a + t)
-    return F.when((F.count(x).over(trailing(w)) >= 3) & (n >= 2), F.try_divide(count.cast("double"), (n - 1).cast("double")))
+    return F.when((over(F.count(x), trailing(w)) >= 3) & (n >= 2), F.try_divide(count.cast("double"), (n - 1).cast("double")))
 
 
 def regression(y: Column, x: Column, w: int, lag: int = 0, rettype: int = 0) -> Column:
@@ -212,15 +212,15 @@ def regression(y: Column, x: Column, w: int, lag: int = 0, rettype: int = 0) ->
     z = delay(x, lag)
     both = y.isNotNull() & z.isNotNull()
     a, b, t = F.when(both, y), F.when(both, z), trailing(w)
-    n, s, ss = F.count(b).over(t).cast("double"), F.sum(b).over(t), F.sum(b * b).over(t)
-    usable = (F.row_number().over(series()) >= w) & (n >= 3) & (condition_2x2(n, s, ss) <= EPSILON**-1)
-    sxx, syy, sxy = F.regr_sxx(a, b).over(t), F.regr_syy(a, b).over(t), F.regr_sxy(a, b).over(t)
+    n, s, ss = over(F.count(b), t).cast("double"), over(F.sum(b), t), over(F.sum(b * b), t)
+    usable = (over(F.row_number(), series()) >= w) & (n >= 3) & (condition_2x2(n, s, ss) <= EPSILON**-1)
+    sxx, syy, sxy = over(F.regr_sxx(a, b), t), over(F.regr_syy(a, b), t), over(F.regr_sxy(a, b), t)
     slope = F.try_divide(sxy, sxx)
-    start = F.avg(a).over(t) - slope * F.avg(b).over(t)
-    last = F.last(F.when(both, F.struct(y.alias("y"), z.alias("z"))), ignorenulls=True).over(t)
+    start = over(F.avg(a), t) - slope * over(F.avg(b), t)
+    last = over(F.last(F.when(both, F.struct(y.alias("y"), z.alias("z"))), ignorenulls=True), t)
     fitted = start + slope * last["z"]
     sse = F.greatest(F.lit(0.0), syy - slope * sxy)
-    varied = F.min(a).over(t) < F.max(a).over(t)
+    varied = over(F.min(a), t) < over(F.max(a), t)
     mse = F.when(n > 2, sse / (n - 2))
     kinds = {
         0: last["y"] - fitted,

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelith.functions import cross, elementwise, rolling
-from panelith.functions.base import SYMBOL, TS, num
+from panelith.functions.base import KEPT, SYMBOL, TS, Kept, num
 
 NONE, BY_TS, BY_SYMBOL = "none", "ts", "symbol"
 
@@ -478,7 +478,7 @@ def compile_factors(panel: Panel, factors: dict[str, Factor]) -> DataFrame:
             done[key] = f"_n{len(done)}"
     left = [f for f in order.values() if f.key not in done]
     df = panel.frame.select(TS, SYMBOL, *[F.col(k[1]).alias(c) for k, c in done.items()])
-    side = None
+    side, kept = None, Kept()
     while left:
         ready = [f for f in left if all(i.key in done for i in f.inputs)]
         # Element-wise nodes first, then those of the partitioning at hand, then change it.
@@ -487,7 +487,13 @@ def compile_factors(panel: Panel, factors: dict[str, Factor]) -> DataFrame:
             side = max((BY_SYMBOL, BY_TS), key=lambda s: sum(f.needs == s for f in ready))
             stage = [f for f in ready if f.needs == side]
         new = {f.key: f"_n{len(done) + i}" for i, f in enumerate(stage)}
-        df = df.withColumns({new[f.key]: f.build(*[F.col(done[i.key]) for i in f.inputs]) for f in stage})
+        token = KEPT.set(kept)
+        try:
+            built = {new[f.key]: f.build(*[F.col(done[i.key]) for i in f.inputs]) for f in stage}
+        finally:
+            KEPT.reset(token)
+        for step in [*kept.take(), built]:
+            df = df.withColumns(step)
         done.update(new)
         left = [f for f in left if f.key not in done]
     return df.select(TS, SYMBOL, *[F.col(done[f.key]).alias(c) for c, f in factors.items()])

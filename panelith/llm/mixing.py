@@ -49,7 +49,7 @@ def source_targets(totals: DataFrame, most_epochs: int = 3, weights: tuple[int,
     return [(name, size, t) for (name, size), t in zip(rows, target)]
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most_epochs: int = 3, seed: int = 17, bucket_rows: int = 20_000) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most_epochs: int = 3, seed: int = 17, bucket_rows: int = 2000) -> DataFrame:
     """(doc_id, source, size, source_size, target, epochs, taken) of every document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")

@@ -200,11 +200,11 @@ def _lexicon(rows, totals) -> tuple[dict[str, float], dict[str, float]]:
     return words, stems
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 3000, lexicon: int = 2000, evidence: float = 6.0) -> Model:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 3000, lexicon: int = 2000, evidence: float = 6.0, odds: float = 3.0) -> Model:
     """A model from labelled rows outside fold 0 of 5: at most ``sample`` toxic and twice as many others.
 
-    Rows are weighted to the label's share among all of them. A term enters the lexicon if it is
-    commoner in toxic texts and its log-likelihood ratio reaches ``evidence``.
+    Rows are weighted to the label's share among all of them. A term enters the lexicon if its log
+    odds of standing in a toxic text reach ``odds`` and its log-likelihood ratio ``evidence``.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "toxicity")
     marks = labels.where((fold("doc_id", 5) != 0) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -226,7 +226,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 3000, lexicon
         p = totals[h][1] / sum(totals[h])
         both = F.col("toxic") + F.col("clean")
         gain = F.col("toxic") * F.ln(F.col("toxic") / both / p) + F.when(F.col("clean") > 0, F.col("clean") * F.ln(F.col("clean") / both / (1 - p))).otherwise(0.0)
-        rows = counts.where((F.col("half") == h) & (F.col("toxic") / both > 2 * p) & (gain >= evidence)).orderBy(gain.desc(), "term").limit(lexicon).collect()
+        lift = F.ln((F.col("toxic") + 0.25) / (totals[h][1] + 0.5)) - F.ln((F.col("clean") + 0.25) / (totals[h][0] + 0.5))
+        rows = counts.where((F.col("half") == h) & (lift >= odds) & (gain >= evidence)).orderBy(gain.desc(), "term").limit(lexicon).collect()
         lexicons.append(_lexicon(rows, totals[h]))
 
     def dense(batches):

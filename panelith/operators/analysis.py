@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelith import report
 from panelith.functions.base import EPSILON, SYMBOL, TS, cross, series
 from panelith.functions.cross import average_rank
 from panelith.plans.panel import BY_SYMBOL, Factor, align
@@ -178,29 +179,32 @@ class Analyzer:
         for i, f in enumerate(self.factors):
             df = f.frame("x")
             ranked = df.withColumn("rank", average_rank(F.col("x")) / F.count("x").over(cross())).withColumn("move", F.abs(F.col("rank") - F.lag("rank").over(series())))
-            turnover = ranked.groupBy(SYMBOL).agg(F.avg("move").alias("m"), F.count("x").alias("n"), F.count("*").alias("all")).agg(F.try_divide(F.sum("n"), F.sum("all")).alias("coverage"), (2 * F.avg("m")).alias("turnover"))
+            turnover = ranked.groupBy(SYMBOL).agg(F.avg("move").alias("m"), F.count("x").alias("n"), F.count("*").alias("all")).agg(F.try_divide(F.sum("n"), F.sum("all")).alias("coverage"), F.when(F.count("*") == 0, 0.0).otherwise(2 * F.avg("m")).alias("turnover"))
             pairs = df.where("x is not null").withColumn("next", F.lead("x").over(series()))
             have = F.col("next").isNotNull()
             a, b = F.when(have, F.col("x")), F.col("next")
             r = F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
             auto = pairs.groupBy(SYMBOL).agg(r.alias("r"), F.count("*").alias("n")).where("n > 10").agg(F.avg("r").alias("autocorr"))
-            parts.append(turnover.crossJoin(auto).select(F.lit(i).alias("at"), F.lit(f.name).alias("factor"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("turnover", F.lit(0.0)).alias("turnover"), "autocorr"))  # one row each
+            parts.append(turnover.crossJoin(auto).select(F.lit(i).alias("at"), F.lit(f.name).alias("factor"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), "turnover", "autocorr"))  # one row each
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out.drop("at")
 
     def summary(self) -> str:
-        """Statistics, coefficients and, for several factors, correlations as text."""
-        show = lambda v, digits=4: "nan" if v is None else f"{v:.{digits}f}"
-        lines = ["Factor statistics"]
-        lines += [f"  {r.factor[:18]:<18} coverage {show(r.coverage)} turnover {show(r.turnover)} autocorr {show(r.autocorr)}" for r in self.stats().collect()]
-        lines.append("Spearman IC")
-        lines += [f"  {r.factor[:18]:<18} h={r.horizon:<4} mean {show(r.ic_mean)} std {show(r.ic_std)} IR {show(r.ir)} t {show(r.t_stat)}" for r in self.ic().collect()]
-        if len(self.factors) > 1:
-            lines.append("Pearson correlation")
-            lines += [f"  {r.factor_a[:18]:<18} {r.factor_b[:18]:<18} {show(r['corr'])}" for r in self.correlation().collect()]
-        return "\n".join(lines)
+        """Coefficients, statistics and, for several factors, correlations as text."""
+        names = [f.name for f in self.factors]
+        ic = {(r.factor, r.horizon): r for r in self.ic().collect()}
+        stats = {r.factor: r for r in self.stats().collect()}
+        table = self.correlation_table() if len(names) > 1 else ""
+        return report.analysis(names, self.horizons, ic, stats, table)
+
+    def correlation_table(self, method: str = "pearson") -> str:
+        cells = {(r.factor_a, r.factor_b): r["corr"] for r in self.correlation(method).collect()}
+        return report.matrix([f.name for f in self.factors], lambda a, b: cells[a, b]) if cells else ""
+
+    def __str__(self) -> str:
+        return f"FactorAnalyzer(factors={[f.name for f in self.factors]}, horizons={self.horizons})"
 
 
 def analyze(factors: list[Factor], price: Factor, horizons: list[int] | None = None) -> Analyzer:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelith import report
 from panelith.functions.base import SYMBOL, TS
 from panelith.functions.elementwise import norm_cdf
 from panelith.plans.panel import Factor
@@ -168,23 +169,18 @@ class Backtester:
         return drawdown_periods(self.returns())
 
     def summary(self, risk_free: float = 0.03) -> str:
-        lines = []
+        """One report for each strategy that has metrics."""
         traded = {r[STRATEGY]: r.t for r in self.turnover().groupBy(STRATEGY).agg((F.avg("turnover") * YEAR).alias("t")).collect()}
-        for m in self.metrics(risk_free).orderBy(STRATEGY).collect():
-            part = lambda v: f"{v * 100:.2f}%"
-            lines += [
-                f"Backtest of {m[STRATEGY]}",
-                f"  total return {part(m.total_return)}  annual return {part(m.annual_return)}  max drawdown {part(m.max_drawdown)}",
-                f"  Sharpe {m.sharpe_ratio:.2f}  Sortino {m.sortino_ratio:.2f}  Calmar {m.calmar_ratio:.2f}  linearity {m.linearity:.4f}",
-                f"  VaR {part(m.var_95)}  CVaR {part(m.cvar)}  PSR {part(m.psr)}  turnover {part(traded.get(m[STRATEGY], 0.0))}",
-            ]
-        return "\n".join(lines) or "no metrics available"
-
-    def drawdown_report(self, top: int = 5) -> str:
-        rows = self.drawdown_periods().orderBy(STRATEGY, "depth", "start").collect()
-        if not rows:
-            return "no drawdown periods"
-        return "\n".join(f"{i + 1}. {r.start:%Y-%m-%d} to {r.end:%Y-%m-%d}  depth {r.depth * 100:.2f}%  {r.duration_days}d" for i, r in enumerate(rows[:top]))
+        span = {r[STRATEGY]: r for r in self.equity().groupBy(STRATEGY).agg(F.min(TS).alias("first"), F.max(TS).alias("last")).collect()}
+        rows = self.metrics(risk_free).orderBy(STRATEGY).collect()
+        texts = [report.backtest(m[STRATEGY], span[m[STRATEGY]]["first"], span[m[STRATEGY]]["last"], m, traded.get(m[STRATEGY], 0.0)) for m in rows]
+        return "\n".join(texts) or "Backtester(no metrics available)"
+
+    def drawdown_report(self, top: int = 5, strategy: str | None = None) -> str:
+        rows = self.drawdown_periods()
+        if strategy is not None:
+            rows = rows.where(F.col(STRATEGY) == strategy)
+        return report.drawdowns(rows.orderBy("depth", "start").collect(), top)
 
 
 def backtest(price: Factor, strategy: Factor, **how) -> Backtester:

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelith import report
 from panelith.functions import cross, elementwise, rolling
 from panelith.functions.base import KEPT, SYMBOL, TS, Kept, num
 
@@ -81,6 +82,12 @@ class Panel:
         counts = [F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in self.columns]
         return self.frame.agg(F.count("*").alias("n_rows"), F.lit(len(self.columns)).alias("n_columns"), F.countDistinct(SYMBOL).alias("n_symbols"), F.countDistinct(TS).alias("n_periods"), F.min(TS).alias("first"), F.max(TS).alias("last"), *counts)
 
+    def describe(self) -> str:
+        return report.panel_info(self.info().first(), self.columns)
+
+    def __str__(self) -> str:
+        return report.panel_line(self.info().first(), self.columns)
+
     # Subsets, taken from the finished grid
 
     def select(self, columns: Iterable[str]) -> Panel:
@@ -175,6 +182,10 @@ class Factor:
         x = F.col("value")
         return self.frame().agg(F.count(x).alias("n_valid"), F.count_if(x.isNull()).alias("n_missing"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
 
+    def __str__(self) -> str:
+        r = self.panel.info().first()
+        return report.factor_line(self.name, r.n_periods, r.n_symbols, r["first"], r["last"])
+
     def is_signal(self, ts=None) -> DataFrame:
         """(ts, is_signal): longs near 0.5, shorts near -0.5, and their sum near 0."""
         df = self.frame()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelith import report
 from panelith.functions.base import SYMBOL, TS
 from panelith.plans.panel import Factor, Panel
 
@@ -55,15 +56,11 @@ def show(factor: Factor, max_rows: int = 20) -> str:
     """The first and last periods as a table, one column for each symbol."""
     df = factor.frame("v")
     times = df.select(TS).distinct()
-    half = max(1, max_rows // 2)
     n = times.count()
-    head = [r[TS] for r in times.orderBy(TS).limit(max_rows if n <= max_rows else half).collect()]
+    half = max_rows // 2
+    head = [r[TS] for r in times.orderBy(TS).limit(n if n <= max_rows else half).collect()]
     tail = [] if n <= max_rows else [r[TS] for r in times.orderBy(F.desc(TS)).limit(half).collect()][::-1]
-    table = df.where(F.col(TS).isin(*head, *tail)).groupBy(TS).pivot(SYMBOL).agg(F.first("v")).orderBy(TS).collect() if n else []
-    cell = lambda v: "NaN" if v is None else f"{v:.4f}"
-    lines = [factor.name, " ".join(["timestamp", *(table[0].__fields__[1:] if table else [])])]
-    for i, r in enumerate(table):
-        if tail and i == len(head):
-            lines.append("...")
-        lines.append(" ".join([str(r[0]), *map(cell, r[1:])]))
-    return "\n".join(lines)
+    chosen = [*head, *tail]
+    rows = df.where(F.col(TS).isin(*chosen)).groupBy(TS).pivot(SYMBOL).agg(F.first("v")).orderBy(TS).collect() if chosen else []
+    symbols = list(rows[0].__fields__[1:]) if rows else []
+    return report.factor_table(str(factor), symbols, [(r[0], r[1:]) for r in rows], len(head) if tail else None)

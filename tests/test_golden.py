@@ -108,7 +108,8 @@ def test_backtest(spark):
     assert last < b.equity().orderBy("ts").collect()[-1].value
     assert costly.trades().count() > b.trades().count()
     assert [r.value for r in b.benchmark_equity().orderBy("ts").collect()] == [near(1000.0), near(1000 / 3 * (2 + 24 / 22)), near(1000 / 3 * (2 + 26 / 22))]
-    assert "Sharpe" in b.summary()
+    assert b.summary().startswith("Backtester(strategy='w', period=2024-01-01 to 2024-01-04)\n  total_return:   ")
+    assert b.drawdown_report().startswith("Drawdown Periods")
     assert b.metrics().count() == 1
     still = pair(spark, flat=True)
     assert Backtester(still.factor("p"), still.factor("w")).trades().count() == 0
@@ -128,3 +129,38 @@ def test_simulation_liquidates_without_targets():
     equity, trades = simulate(days, prices, [{"A": 0.5, "B": -0.5}, None, {"A": 0.5, "B": -0.5}, None], 1000.0, 0.0, 0.0, False, True)
     assert len(equity) == 4
     assert [t[2] for t in trades] == [500.0, -500.0, -500.0, 500.0, 500.0, -500.0]
+
+
+def test_reports(spark):
+    p = sample(spark)
+    close = p.factor("close")
+    a = analyze([close.rank().signal().rename("signal(rank(close))"), close.rank()], close, [1, 3])
+    assert a.summary().split("\n") == [
+        "FactorAnalyzer(factors=2, horizons=[1, 3])",
+        "",
+        "IC Analysis (Spearman):",
+        "  Factor                      1D          3D",
+        "  ------------------------------------------",
+        "  signal(rank(close)      0.3423      0.2001",
+        "  rank(close)             0.3423      0.2001",
+        "",
+        "IR (IC Mean / IC Std):",
+        "  signal(rank(close)       0.531       0.366",
+        "  rank(close)              0.531       0.366",
+        "",
+        "Factor Statistics:",
+        "  Factor                Coverage    Turnover    Autocorr",
+        "  ------------------------------------------------------",
+        "  signal(rank(close)      83.33%      0.0536         N/A",
+        "  rank(close)             83.33%      0.0536         N/A",
+        "",
+        "Correlation Matrix:",
+        "                       signal(rank(close))  rank(close)",
+        "  signal(rank(close))               1.0000       1.0000",
+        "  rank(close)                       1.0000       1.0000",
+    ]
+    assert str(p) == "Panel(48 rows, 3 cols, 4 symbols, 12 periods, 2024-01-01 to 2024-01-12)"
+    assert p.describe().endswith("NaN: {close: 1, extra: 0, volume: 1}")
+    assert str(close) == "Factor('close', 12 periods × 4 symbols, 2024-01-01 to 2024-01-12)"
+    one = p.slice_time("2024-01-01", "2024-01-01").factor("extra")
+    assert f"  {'extra':<18}{'100.00%':>12}{'nan':>12}{'N/A':>12}" in analyze([one], one, [1]).summary()

@@ -167,13 +167,13 @@ def _lists(values: np.ndarray, at: np.ndarray, kind) -> pa.Array:
 
 
 def sketches(tokens: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """Parity bits of each set: each token flips one of 2**j > n bits, so the bits in which two
-    sketches differ are a lower bound of the tokens in which the sets do. Folding a sketch in
-    halves gives the sketch with fewer bits."""
+    """Parity bits of each set: each token flips one of 2**j > 2 n bits, so the bits in which two
+    sketches differ are a lower bound of the tokens in which the sets do; those of unrelated sets
+    differ in about 0.9 n or more. Folding a sketch in halves gives the sketch with fewer bits."""
     places = splitmix(tokens + U(0x2545F4914F6CDD1D))
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-        bits = 64 if b - a < 64 else 1 << int(b - a).bit_length()
+        bits = 128 if b - a < 32 else 2 << int(b - a).bit_length()
         out.append(np.packbits((np.bincount((places[a:b] & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes())
     return out
 

@@ -237,7 +237,9 @@ def score_texts(docs: DataFrame, order: int = 5, share: int = 120_000, hot: int
     often = {bytes(r.token): int(r.n) for r in vocabulary.where(F.col("n") * hot >= n_all).collect()}
     log_total, end_part = math.log10(n_all + v + 1), math.log10(ends + 1)
     logs = spark.sparkContext.broadcast({t: math.log10(c + 1) for t, c in often.items()})
+    scratch.drop()  # the counting's shuffle files
     trie = spark.sparkContext.broadcast(fit_trie(train, scratch, order, share))  # once for each worker
+    scratch.drop("grams")
     names = ["row", "doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "score", "cold", "times"]
 
     def run(batches):

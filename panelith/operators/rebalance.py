@@ -85,3 +85,47 @@ def exposure(legs: DataFrame, budget: float) -> DataFrame:
 
 def preview(legs: DataFrame, limit: int = 50) -> str:
     return "\n".join(f"{r.symbol:<10} {r.action:<7} {r.current_usd:>14.2f} -> {r.target_usd:>14.2f}" for r in legs.orderBy("symbol").limit(limit).collect())
+
+
+def size_decimals(lot: Column) -> Column:
+    """Decimals of an order size, from the lot size as text: those written, or those a power of ten needs."""
+    fraction = F.regexp_extract(lot, r"^[^.]*\.([0-9]*)$", 1)
+    written = F.length(F.regexp_replace(fraction, "0+$", ""))
+    value = lot.try_cast("double")
+    power = F.when((value > 0) & (value < 1), -F.floor(F.log10(value))).otherwise(0)
+    return F.when(lot.rlike(r"^[^.]*\.[0-9]*$"), F.least(written, F.lit(12))).otherwise(F.coalesce(power, F.lit(0))).cast("int")
+
+
+def format_size(size: Column, decimals: Column) -> Column:
+    """The size with exactly ``decimals`` decimals, as text."""
+    rounded = F.format_string("%.12f", F.round(size * F.pow(F.lit(10.0), decimals)) / F.pow(F.lit(10.0), decimals))
+    return F.when(decimals == 0, F.substring_index(rounded, ".", 1)).otherwise(rounded.substr(F.lit(1), F.length(F.substring_index(rounded, ".", 1)) + 1 + decimals))
+
+
+def specs_from(raw: DataFrame) -> DataFrame:
+    """Contract specifications from (instId, state, ctVal, ctMult, lotSz, minSz, maxMktSz: text); bad ones are left out.
+
+    A multiplier that is missing or not positive counts as 1.
+    """
+    number = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
+    rows = raw.select(
+        F.col("instId").alias("inst_id"), "state", number("ctVal").alias("ct_val"), F.when(number("ctMult") > 0, number("ctMult")).otherwise(1.0).alias("ct_mult"),
+        number("lotSz").alias("lot_sz"), number("minSz").alias("min_sz"), number("maxMktSz").alias("max_mkt_sz"), size_decimals(F.col("lotSz")).alias("size_decimals"),
+    )
+    return rows.where((F.col("inst_id") != "") & (F.col("ct_val") > 0) & (F.col("lot_sz") > 0))
+
+
+def account_problems(level: str, position_mode: str) -> list[str]:
+    """Why an account cannot trade swaps: it needs level 2 or 3 and net positions."""
+    problems = []
+    if level not in ("2", "3"):
+        problems.append(f"account level must be 2 or 3, it is {level!r}")
+    if position_mode != "net_mode":
+        problems.append(f"position mode must be net_mode, it is {position_mode!r}")
+    return problems
+
+
+def acknowledgements(acks: DataFrame) -> DataFrame:
+    """One row: orders, and how many of them (code: text) were taken, which code 0 says."""
+    good = F.col("code") == "0"
+    return acks.agg(F.count("*").alias("orders"), F.count_if(good).alias("ok"), F.count_if(~F.coalesce(good, F.lit(False))).alias("failed"))

@@ -73,3 +73,17 @@ def test_plans(spark):
     assert (e.gross_target, e.n_open, e.n_skip) == (600.0, 1, 1)
     assert rb.exposure(plain, 0.0).first().target_leverage is None
     assert "open" in rb.preview(plain)
+
+
+def test_specifications_and_acknowledgements(spark):
+    raw = [("A", "live", "0.1", "", "0.010", "1", "x"), ("B", "live", "0", "1", "1", "1", "1"), ("C", "halt", "2", "3", "1E-4", "0", ""), ("", "live", "1", "1", "1", "1", "1"), ("D", "live", "1", "1", "10", "1", "1")]
+    rows = {r.inst_id: r for r in rb.specs_from(spark.createDataFrame(raw, "instId string, state string, ctVal string, ctMult string, lotSz string, minSz string, maxMktSz string")).collect()}
+    assert set(rows) == {"A", "C", "D"}
+    assert (rows["A"].size_decimals, rows["A"].ct_mult, rows["A"].max_mkt_sz) == (2, 1.0, 0.0)
+    assert (rows["C"].size_decimals, rows["C"].ct_mult, rows["D"].size_decimals) == (4, 3.0, 0)
+    sizes = spark.createDataFrame([(1.5, 2), (3.0, 0), (0.0001, 4)], "s double, d int").select(rb.format_size(F.col("s"), F.col("d")).cast("string").alias("t"))
+    assert [r.t for r in sizes.collect()] == ["1.50", "3", "0.0001"]
+    assert rb.account_problems("2", "net_mode") == []
+    assert len(rb.account_problems("1", "long_short_mode")) == 2
+    a = rb.acknowledgements(spark.createDataFrame([("0",), ("1",), (None,)], "code string")).first()
+    assert (a.orders, a.ok, a.failed) == (3, 1, 2)

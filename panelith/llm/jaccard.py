@@ -16,7 +16,8 @@ neighbourhood, would meet.
    their tokens; each pair of blocks counts all overlaps exactly with an inverted index and keeps
    a spanning forest of the links, so no pair list of a group of near copies ever exists.
 
-Rows with the same set share one representative; copies are never paired. Texts without words have
+Tokens are 64-bit hashes and sets are known by 64-bit fingerprints. Rows with the same set share one
+representative; copies are never paired, they count as links of one another. Texts without words have
 an empty set, link with nothing and keep their own doc_id. A null doc_id takes part and gets the
 component of its set, if that has a document with an id. Repeated rows come back repeated.
 """
@@ -336,8 +337,10 @@ def _neighbourhoods(rule: Rule, widest: int):
     return run
 
 
-def link_block(rule: Rule, fps: np.ndarray, tokens: np.ndarray, at: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets, exactly; with two sides, only links across are sought.
+def link_block(rule: Rule, fps: np.ndarray, tokens: np.ndarray, at: np.ndarray, side: np.ndarray, copies: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(a spanning forest of the links among sets, how many rows each set links with), exactly.
+
+    With two sides, only links across are sought. ``copies`` are the rows that have each set.
 
     Overlaps of a set with all others are counted over the postings of its tokens. Tokens that more
     than half of the sets hold have the list of those that lack them instead.
@@ -349,7 +352,7 @@ def link_block(rule: Rule, fps: np.ndarray, tokens: np.ndarray, at: np.ndarray,
     post, cut = owner[order], np.searchsorted(code[order], np.arange(len(vocabulary) + 1))
     freq = np.diff(cut)
     lacking = {int(t): np.setdiff1d(np.arange(k), post[cut[t] : cut[t + 1]], assume_unique=True) for t in np.flatnonzero(freq > k // 2)} if k > 8 else {}
-    root, out = np.arange(k), []
+    root, out, degree = np.arange(k), [], np.zeros(k, np.int64)
     across = bool(side.any()) and not side.all()
     for r in range(k):
         if across and side[r]:
@@ -366,27 +369,33 @@ def link_block(rule: Rule, fps: np.ndarray, tokens: np.ndarray, at: np.ndarray,
             shared = shared + len(many) - (np.bincount(np.concatenate(gaps), minlength=k) if gaps else 0)
         linked = rule.den * shared >= rule.num * (sizes[r] + sizes - shared)
         linked &= side == 1 if across else np.arange(k) > r
+        degree[r] += copies[linked].sum()
+        degree[linked] += copies[r]
         linked &= root != root[r]
         for j in np.flatnonzero(linked):
             if root[j] != root[r]:
                 out.append((int(fps[r]), int(fps[j])))
                 root[root == root[j]] = root[r]
-    return out
+    return out, degree
 
 
 def _verify(rule: Rule):
+    """Rows (u, v, n): the links of a forest, with n null, and the sets that link, with v null and the rows they link with."""
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        links = []
+        out = []
         for _, g in pdf.groupby("grp", sort=False):
             g = g.drop_duplicates("fp")
             if len(g) < 2:
                 continue
             lists = [np.asarray(t, np.int64).view(U) for t in g.tokens]
             at = np.concatenate([[0], np.cumsum([len(t) for t in lists])]).astype(np.int64)
-            links += link_block(rule, g.fp.to_numpy(), np.concatenate(lists), at, g.side.to_numpy())
-        return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
+            fps = g.fp.to_numpy()
+            links, degree = link_block(rule, fps, np.concatenate(lists), at, g.side.to_numpy(), g.copies.to_numpy())
+            out += [(u, v, None) for u, v in links]
+            out += [(int(fps[i]), None, int(degree[i])) for i in np.flatnonzero(degree)]
+        return pd.DataFrame({c: pd.array([r[i] for r in out], "Int64") for i, c in enumerate("uvn")})
 
     return run
 
@@ -407,7 +416,7 @@ def _deal(rows: DataFrame, key, few: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, widest: int = 4, bucket: int = 4096, block_tokens: int = 1_000_000) -> DataFrame:
-    """(id, n_shingles, component_id) for every row: the least id reachable by links.
+    """(id, n_shingles, component_id, n_links) for every row: the least id reachable by links, and the rows linked with.
 
     Two rows link when den * |intersection| >= num * |union| over their k-word shingles. A block of
     a candidate group holds at most ``block_tokens`` shingles, or one larger set; larger buckets than ``bucket`` sets are dealt out in blocks too.
@@ -470,16 +479,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = sized.groupBy("root").agg(F.sum("size").alias("tokens"))
     dealt = sized.join(total, "root").withColumn("parts", F.ceil(F.col("tokens") / F.lit(block_tokens)).cast("int"))
     work = _deal(dealt.select("fp", "root", "parts"), F.xxhash64("root"), tasks).join(sets.select("fp", "tokens"), "fp")
-    links = scratch.save(work.groupBy("unit").applyInPandas(_verify(rule), "u long, v long"), "links")
-    roots = components(scratch, links, "links")
+    copies = scratch.save(profile.where("fp <> 0").groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")), "copies")
+    work = work.join(copies.select("fp", "copies"), "fp")
+    found = scratch.save(work.groupBy("unit").applyInPandas(_verify(rule), "u long, v long, n long"), "links")
+    roots = components(scratch, found.where("n is null").select("u", "v"), "links")
+    degrees = found.where("n is not null").groupBy("u").agg(F.sum("n").alias("others"))
 
     # Back to the rows: the least id of each component.
-    classes = profile.where("fp <> 0").groupBy("fp").agg(F.min("doc_id").alias("low"))
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
+    named = copies.join(roots, copies.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "low", "copies")
     least = named.groupBy("root").agg(F.min("low").alias("component"))
-    named = named.join(least, "root").select("fp", "component")
+    named = named.join(least, "root").join(degrees, F.col("fp") == F.col("u"), "left").select("fp", "component", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
     out = profile.select("doc_id", "n", "fp").join(named, "fp", "left")
-    return out.select(F.col("doc_id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return out.select(F.col("doc_id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:

@@ -11,7 +11,7 @@ def brute(texts, k, num, den):
     for t in texts:
         w = (t or "").encode().lower().split()
         sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
-    root = list(range(len(texts)))
+    root, links = list(range(len(texts))), [0] * len(texts)
 
     def find(a):
         while root[a] != a:
@@ -24,7 +24,9 @@ def brute(texts, k, num, den):
             if sets[i] and sets[j] and den * both >= num * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-    return [len(s) for s in sets], [find(i) for i in range(len(texts))]
+                links[i] += 1
+                links[j] += 1
+    return [len(s) for s in sets], [find(i) for i in range(len(texts))], links
 
 
 def corpus(seed=3):
@@ -56,10 +58,10 @@ def corpus(seed=3):
 @pytest.mark.parametrize(("k", "num", "how"), [(4, 85, {}), (5, 80, {"bucket": 16, "block_tokens": 3000})])
 def test_components_equal_brute_force(spark, k, num, how):
     texts = corpus(k)
-    sizes, expected = brute(texts, k, num, 100)
+    sizes, expected, links = brute(texts, k, num, 100)
     docs = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(texts)], "doc_id long, text string, component_id string, n long")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, k=k, num=num, **how).collect()}
-    assert got == {i: (sizes[i], expected[i]) for i in range(len(texts))}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_components(docs, k=k, num=num, **how).collect()}
+    assert got == {i: (sizes[i], expected[i], links[i]) for i in range(len(texts))}
 
 
 def test_empty_repeated_and_null_ids(spark):
@@ -107,9 +109,10 @@ def test_block_links():
     base = rng.choice(2**62, 50).astype(np.uint64)
     sets = [np.unique(np.concatenate([base[rng.random(50) > 0.06], rng.choice(2**62, rng.integers(0, 6)).astype(np.uint64)])) for _ in range(60)]
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    links = link_block(rule, np.arange(60), np.concatenate(sets), at, np.zeros(60, int))
+    links, degree = link_block(rule, np.arange(60), np.concatenate(sets), at, np.zeros(60, int), np.ones(60, int))
     truth = {(i, j) for i in range(60) for j in range(i + 1, 60) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
     assert set(links) <= truth
+    assert degree.tolist() == [sum(i in p for p in truth) for i in range(60)]
 
     def parts(pairs):
         root = list(range(60))

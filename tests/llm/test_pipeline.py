@@ -44,7 +44,7 @@ def test_pipeline(spark, tmp_path):
         kept[name] = {x.doc_id: x for x in docs.collect()}
     assert set(kept["quality"]) == set(range(len(rows))) - set(bad) - set(failed)
     texts = [kept["quality"][i].text for i in sorted(kept["quality"])]
-    _, parts = brute([re.sub(r"\s+", " ", t) for t in texts], 5, 80, 100)
+    _, parts, _ = brute([re.sub(r"\s+", " ", t) for t in texts], 5, 80, 100)
     assert set(kept["near_duplicates"]) == {i for k, (i, p) in enumerate(zip(sorted(kept["quality"]), parts)) if k == p}
     assert set(copies) & set(kept["near_duplicates"]) == {copies[0]}
     assert set(kept["near_duplicates"]) - set(kept["decontamination"]) == set(leak)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -174,11 +172,8 @@ def group_normalize(x: Column, g: Column, scale: float = 1.0) -> Column:
     return _in(g, F.when(total <= EPSILON, 0.0).otherwise(F.try_divide(x, total) * float(scale)))
 
 
-def average_rank(x: Column, within: Column | None = None) -> Column:
+def average_rank(x: Column) -> Column:
     """Average rank among the values of a timestamp, from 1; NULL for missing values."""
     c = cross()
     ties = over(F.count(F.lit(1)), Window.partitionBy(TS, x))
     return F.when(x.isNotNull(), over(F.rank(), c.orderBy(x.asc_nulls_last())) + (ties - 1) / 2)
-
-
-NAN = math.nan

@@ -8,7 +8,6 @@ Factors of different grids meet in an inner join on (ts, symbol) and go on as on
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -508,7 +507,3 @@ def compile_factors(panel: Panel, factors: dict[str, Factor]) -> DataFrame:
         done.update(new)
         left = [f for f in left if f.key not in done]
     return df.select(TS, SYMBOL, *[F.col(done[f.key]).alias(c) for c, f in factors.items()])
-
-
-def safe_name(name: str) -> str:
-    return re.sub(r"\W+", "_", name).strip("_")

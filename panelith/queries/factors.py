@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from panelith.functions import elementwise as el
-from panelith.plans.panel import align
 
 from . import base as b
 
@@ -214,4 +213,3 @@ def momentum(p):
 
 
 add("momentum_signal", b.cell_sql("v", b.TYPE_SQL, _momentum, "t"), momentum, b.type_monthly)
-__all__ = ["QUERIES", "ORACLE_SQL", "align"]

@@ -404,7 +404,7 @@ def _deal(rows: DataFrame, key, few: int) -> DataFrame:
     """Rows of groups (key) in ``parts`` blocks, once for each pair of blocks (fp, grp, side, unit).
 
     ``grp`` tells the block pairs apart, ``side`` is 1 for the second block of a pair; block pairs of
-    split groups are tasks of their own, whole groups share ``few`` tasks.
+    split groups are tasks of their own, whole groups share ``few`` tasks, a number that grows with the rows.
     """
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     one = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side")))
@@ -422,7 +422,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     a candidate group holds at most ``block_tokens`` shingles, or one larger set; larger buckets than ``bucket`` sets are dealt out in blocks too.
     """
     spark = docs.sparkSession
-    scratch, rule, tasks = Scratch(spark, "jaccard"), Rule(num, den), 1024
+    scratch, rule = Scratch(spark, "jaccard"), Rule(num, den)
     kind = dict(docs.select(id_col).dtypes)[id_col]
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile = scratch.save(plain.mapInArrow(_profile(k, rule), "doc_id long, n long, fp long, signs array<long>"), "profile")
@@ -468,7 +468,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = hits.groupBy("sign").agg(F.count("*").alias("members")).where("members > 1")
     side = sets.select("fp", F.size("tokens").cast("long").alias("n"), "sketch")
     met = hits.join(members, "sign").withColumn("parts", F.ceil(F.col("members") / F.lit(bucket)).cast("int"))
-    met = _deal(met, F.xxhash64("sign"), tasks).join(side, "fp")
+    met = _deal(met, F.xxhash64("sign"), max(1024, hits.count() // 10_000)).join(side, "fp")
     edges = met.groupBy("unit").applyInPandas(_meetings(rule), "u long, v long")
     edges = scratch.save(edges, "edges")
     scratch.drop("rows", "steps", "bought", "hits")
@@ -478,7 +478,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sized = groups.join(sets.select("fp", F.size("tokens").alias("size")), groups.node == F.col("fp")).select("fp", "root", "size")
     total = sized.groupBy("root").agg(F.sum("size").alias("tokens"))
     dealt = sized.join(total, "root").withColumn("parts", F.ceil(F.col("tokens") / F.lit(block_tokens)).cast("int"))
-    work = _deal(dealt.select("fp", "root", "parts"), F.xxhash64("root"), tasks).join(sets.select("fp", "tokens"), "fp")
+    work = _deal(dealt.select("fp", "root", "parts"), F.xxhash64("root"), max(1024, (total.agg(F.sum("tokens")).first()[0] or 0) // (block_tokens // 4))).join(sets.select("fp", "tokens"), "fp")
     copies = scratch.save(profile.where("fp <> 0").groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")), "copies")
     work = work.join(copies.select("fp", "copies"), "fp")
     found = scratch.save(work.groupBy("unit").applyInPandas(_verify(rule), "u long, v long, n long"), "links")

@@ -68,7 +68,8 @@ def trailing(w: int) -> Window:
 
 
 def no_nan(e: Column) -> Column:
-    return F.when(~F.isnan(e), e)
+    """``e``, evaluated once, with NaN made NULL."""
+    return F.nanvl(e, F.lit(None).cast("double"))
 
 
 def finite(e: Column) -> Column:

@@ -44,8 +44,10 @@ class Panel:
             rows = rows.withColumn("_at", F.row_number().over(latest)).where("_at = 1")
         value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
         rows = rows.select(F.col(ts).alias(TS), F.col(symbol).cast("string").alias(SYMBOL), *map(value, names))
-        # The grid of all pairs is the panel's definition, not a join of rows with rows.
-        spine = rows.select(TS).distinct().crossJoin(rows.select(SYMBOL).distinct())
+        # The grid of all pairs is the panel's definition, not a join of rows with rows. The symbols are dealt
+        # out first: few as they may be, the grid is as wide as they are spread, and stays spread by symbol.
+        wide = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spine = rows.select(TS).distinct().crossJoin(rows.select(SYMBOL).distinct().repartition(wide, SYMBOL))
         return cls(spine.join(rows, [TS, SYMBOL], "left"), names)
 
     @classmethod

@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from panelith.functions.base import SYMBOL, TS
 from panelith.plans.panel import Factor, Panel
 
-# The aggregated rows are kept, as a grid reads them three times: for its two sides and its cells.
+def _kept(rows: DataFrame) -> DataFrame:
+    """The aggregated rows, kept: a grid reads them three times. They are counted at once, so that plans know their size."""
+    rows = rows.persist()
+    rows.count()
+    return rows
+
+
 _exact = lambda c: F.sum(F.col(c).cast("decimal(18,4)")).cast("double")  # noqa: E731  the same whatever the order
 
 
 def events_hourly(spark: SparkSession, sf: str) -> Panel:
     """Hour x event type: x the total value, y the number of events, d = x - 100. Has holes."""
     rows = spark.read.parquet(f"{sf}/events.parquet").groupBy(F.date_trunc("hour", "ts").alias(TS), F.col("event_type").alias(SYMBOL)).agg(_exact("value").alias("x"), F.count("*").cast("double").alias("y"))
-    return Panel.from_frame(rows.withColumn("d", F.col("x") - 100.0).persist())
+    return Panel.from_frame(_kept(rows.withColumn("d", F.col("x") - 100.0)))
 
 
 def _shipped(spark: SparkSession, sf: str, symbol: str, unit: str = "month") -> DataFrame:
@@ -27,21 +33,21 @@ def _shipped(spark: SparkSession, sf: str, symbol: str, unit: str = "month") ->
 
 def brand_monthly(spark: SparkSession, sf: str) -> Panel:
     """Month x brand: mean price and volume shipped."""
-    return Panel.from_frame(_shipped(spark, sf, "p_brand").persist())
+    return Panel.from_frame(_kept(_shipped(spark, sf, "p_brand")))
 
 
 def type_monthly(spark: SparkSession, sf: str) -> Panel:
-    return Panel.from_frame(_shipped(spark, sf, "p_type").persist())
+    return Panel.from_frame(_kept(_shipped(spark, sf, "p_type")))
 
 
 def supplier_daily(spark: SparkSession, sf: str) -> Panel:
-    return Panel.from_frame(_shipped(spark, sf, "l_suppkey", "day").persist())
+    return Panel.from_frame(_kept(_shipped(spark, sf, "l_suppkey", "day")))
 
 
 def orders_monthly(spark: SparkSession, sf: str) -> Panel:
     """Month x priority: total price and number of orders."""
     rows = spark.read.parquet(f"{sf}/orders.parquet").groupBy(F.date_trunc("month", "o_orderdate").alias(TS), F.col("o_orderpriority").alias(SYMBOL)).agg(_exact("o_totalprice").alias("total"), F.count("*").cast("double").alias("n"))
-    return Panel.from_frame(rows.persist())
+    return Panel.from_frame(_kept(rows))
 
 
 #: Added before rounding, so that exact halves, which the engines reach a last bit apart, are no ties.

@@ -7,10 +7,12 @@ its oldest byte and the symbols already seen are excluded. Below the empty conte
 bytes and the end of the text, alike. Each text ends with an end symbol, so texts of all lengths
 share one distribution; the bytes before a text count as newlines.
 
-Contexts are kept by count, those seen in at least 1 / ``share`` of all positions, which bounds their
-number by ``share`` for each order whatever the corpus, so that the trie fits a task. For the kept
-contexts all escapes and exclusions are worked out once into a table of code lengths; scoring a
-text is then a lookup for each byte.
+All contexts are kept, as tables of Spark with one row for each context and each gram (context and
+symbol); nothing about them reaches the driver or is broadcast. The texts fall in batches of about
+``batch_bytes``. Each batch meets the tables in a join of its distinct grams, and is then scored with
+the code lengths of just these, so a task holds no more than its batch needs, whatever the corpus.
+A gram never seen loses bytes of its context in joins with the shorter contexts. Only with ``share``
+given, contexts with less than 1 / ``share`` of all positions are left out.
 
 Base: add-one unigram log probabilities over the training tokens, whose counts are made in Spark for
 all training rows. Tokens frequent enough to be few (at most ``share`` of them) are broadcast, all
@@ -28,6 +30,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,35 +64,48 @@ def padded(data: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndarray
     return flat, (where, start)
 
 
-def _grams(order: int, batch_bytes: int, most: int = 600_000):
-    """(context, symbol, n) over about ``batch_bytes`` of text at a time, merged whenever more than ``most`` rows wait."""
+def _batched(order: int, batch_bytes: int, most: int = 600_000):
+    """The rows (row, doc_id, held_out, text) with a number of their batch, and after each batch its grams.
+
+    A gram is context * 512 + symbol; its n counts the rows that are not held out, and is 0 if only others have it.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64()]
+
+    def rows(number, size, columns):
+        filled = [pa.array(np.full(size, number)), *columns]
+        return pa.RecordBatch.from_arrays([pa.nulls(size, t) if c is None else c for c, t in zip(filled, kinds)], ["batch", "row", "doc_id", "held_out", "text", "gram", "n"])
+
+    def grams(number, held):
+        keys, n = _merged(held)
+        return rows(number, len(keys), [None] * 4 + [pa.array(keys), pa.array(n)])
 
     def run(batches):
+        number = np.int64(TaskContext.get().partitionId()) << 32
         held, size, waiting = [], 0, 0
         for batch in batches:
-            for _, data, bounds in text_chunks(batch.column(0)):
+            for first, data, bounds in text_chunks(batch.column(3)):
+                k = len(bounds) - 1
+                part = batch.slice(first, k)
                 context, symbol = gram_keys(data, bounds, order)
-                keys, n = np.unique(context * 512 + symbol, return_counts=True)
-                held.append((keys, n))
+                learned = ~part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                keys, n = np.unique((context * 512 + symbol) * 2 + np.concatenate([np.repeat(learned, np.diff(bounds)), learned]), return_counts=True)
+                held.append((keys >> 1, n * (keys & 1)))
                 size += len(data)
                 waiting += len(keys)
+                yield rows(number, k, [*part.columns, None, None])
                 if waiting > most:
                     held = [_merged(held)]
                     waiting = 0
                 if size >= batch_bytes:
-                    yield _gram_rows(held)
+                    yield grams(number, held)
+                    number += 1
                     held, size, waiting = [], 0, 0
         if held:
-            yield _gram_rows(held)
+            yield grams(number, held)
 
     return run
 
 
-def _gram_rows(held) -> pa.RecordBatch:
-    keys, n = _merged(held)
-    return pa.RecordBatch.from_arrays([pa.array(keys >> 9), pa.array((keys & 511).astype(np.int32)), pa.array(n)], ["context", "symbol", "n"])
-
-
 def _merged(held) -> tuple[np.ndarray, np.ndarray]:
     keys, n = (np.concatenate(c) for c in zip(*held))
     order = np.argsort(keys, kind="stable")
@@ -99,106 +115,103 @@ def _merged(held) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Trie:
-    """Code lengths, in log10, of every symbol after every kept context."""
-
-    def __init__(self, order: int, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """``levels[k]``: (context, symbol, n) of the kept contexts of k bytes; level 0 has context 0 alone."""
-        self.order, self.levels = order, levels
-        self.ready = False
-
-    def __getstate__(self):
-        return {"order": self.order, "levels": self.levels, "ready": False}
-
-    def build(self) -> Trie:
-        if self.ready:
-            return self
-        uniform = np.full(257, 1 / 257, np.float32)
-        probability = [np.empty((0, 257), np.float32)] * (self.order + 1)
-        self.contexts = []
-        for k, (context, symbol, n) in enumerate(self.levels):
-            names, row = np.unique(context, return_inverse=True)
-            if k == 0:
-                names, row = np.zeros(1, np.int64), np.zeros(len(context), np.int64)  # there even with nothing learned
-            counts = np.zeros((len(names), 257), np.float32)
-            counts[row, symbol] = n
-            seen = counts > 0
-            total, kinds = counts.sum(1, keepdims=True, dtype=np.float64).astype(np.float32), seen.sum(1, keepdims=True, dtype=np.float32)
-            if k == 0:
-                lower = np.broadcast_to(uniform, counts.shape)
-            else:
-                parent = np.searchsorted(self.contexts[k - 1], names & ((1 << (8 * (k - 1))) - 1))
-                lower = probability[k - 1][parent]
-            # Excluding the symbols seen here, the shorter context's probabilities of the others are scaled up.
-            rest = np.where(seen, np.float32(0), lower)
-            mass = rest.sum(1, keepdims=True)
-            none = mass <= 1e-12
-            escape = np.where(none, 0, kinds / np.maximum(total + kinds, 1))
-            p = np.where(seen, counts / np.maximum(total, 1) * (1 - escape), rest / np.where(none, 1, mass) * escape)
-            probability[k] = np.where(total > 0, p, lower).astype(np.float32)
-            self.contexts.append(names)
-        base = np.cumsum([0] + [len(c) for c in self.contexts])
-        self.cost = np.log10(np.maximum(np.concatenate(probability), 1e-30)).astype(np.float32)
-        self.base, self.ready = base, True
-        # The rows of one- and two-byte contexts by their bytes; row len(contexts[k]) stands for none.
-        sizes = [len(c) for c in self.contexts]
-        self.one = np.full(256, sizes[1], np.int32)
-        self.one[self.contexts[1]] = np.arange(sizes[1])
-        # A context of k bytes follows the context of its first k - 1 by its last byte.
-        self.follow = [None, None]
-        for k in range(2, self.order + 1):
-            names, before = self.contexts[k], self.contexts[k - 1]
-            step = np.full((sizes[k - 1] + 1, 256), sizes[k], np.int32)
-            if len(names) and len(before):
-                at = np.minimum(np.searchsorted(before, names >> 8), len(before) - 1)
-                some = before[at] == names >> 8
-                step[at[some], (names & 255)[some]] = np.flatnonzero(some)
-            self.follow.append(step)
-        return self
-
-    def rows(self, flat: np.ndarray) -> np.ndarray:
-        """The row of the longest kept context before each place but the first of adjacent padded texts."""
-        sizes = [len(c) for c in self.contexts]
-        last = flat[:-1]
-        exact = self.one[last]
-        at = np.where(exact < sizes[1], self.base[1] + exact, 0).astype(np.int32)
-        for k in range(2, self.order + 1):
-            longer = np.full(len(last), sizes[k], np.int32)
-            longer[1:] = self.follow[k][exact[:-1], last[1:]]
-            exact = longer
-            hit = exact < sizes[k]
-            np.copyto(at, self.base[k] + exact, where=hit, casting="unsafe")
-        return at
-
-    def log10(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """log10 probability of each of the adjacent texts with its end."""
-        self.build()
-        flat, places = padded(data, bounds, self.order)
-        row = np.concatenate([[0], self.rows(flat)])
-        n = len(bounds) - 1
-        ends = places[1] + np.diff(bounds)
-        cost = self.cost[row[places[0]], data].astype(np.float64)
-        last = self.cost[row[ends], END].astype(np.float64)
-        sums = np.concatenate([[0.0], np.cumsum(cost)])
-        return sums[bounds[1:]] - sums[bounds[:-1]] + last[:n]
-
-
-def fit_trie(texts: DataFrame, scratch: Scratch, order: int = 5, share: int = 120_000, batch_bytes: int = 64 << 20) -> Trie:
-    """The trie of all ``texts`` (column text)."""
-    grams = scratch.save(texts.mapInArrow(_grams(order, batch_bytes), "context long, symbol int, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n")), "grams")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    levels, kept = [], None
+    """What follows every kept context, as tables.
+
+    ``grams[k]`` has (gram, n) of the contexts of k bytes, ``contexts[k]`` (context, sure, drop): log10 of
+    what a gram's n is multiplied with, and of what the shorter context's probability is on escape.
+    """
+
+    def __init__(self, order: int, grams: list[DataFrame], contexts: list[DataFrame]):
+        self.order, self.grams, self.contexts = order, grams, contexts
+
+    @property
+    def levels(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(context, symbol, n) of the kept contexts of k bytes, collected: for small corpora."""
+        out = []
+        for grams, contexts in zip(self.grams, self.contexts):
+            rows = grams.withColumn("context", F.shiftright("gram", 9)).join(contexts, "context", "left_semi").toPandas()
+            out.append((rows.context.to_numpy(np.int64), rows.gram.to_numpy(np.int64) & 511, rows.n.to_numpy(np.float64)))
+        return out
+
+    def costs(self, counts: DataFrame, scratch: Scratch) -> DataFrame:
+        """(gram, cost): log10 of the probability of each of the distinct grams of ``counts`` (gram, n)."""
+        last = counts.withColumn("context", F.shiftright("gram", 9)).join(self.contexts[self.order], "context", "left")
+        last = scratch.save(last.select("gram", F.when(F.col("n") > 0, F.log10("n") + F.col("sure")).alias("cost"), F.coalesce("drop", F.lit(0.0)).alias("drop")), "last")
+        rest, cost = last.where("cost is null").select("gram", "drop"), F.lit(-math.log10(257))
+        for k in range(self.order):
+            small = F.broadcast if k < 2 else lambda df: df  # the contexts of one byte and what follows are 257 * 256 rows at most
+            seen = self.grams[k].select(F.col("gram").alias(f"g{k}"), F.col("n").alias(f"n{k}"))
+            known = self.contexts[k].select(F.col("context").alias(f"c{k}"), F.col("sure").alias(f"sure{k}"), F.col("drop").alias(f"drop{k}"))
+            cut = shortened("gram", k)
+            rest = rest.join(small(seen), cut == F.col(f"g{k}"), "left").join(small(known), F.shiftright(cut, 9) == F.col(f"c{k}"), "left")
+            here = F.log10(f"n{k}") + F.col(f"sure{k}")
+            cost = F.when(here.isNotNull(), here).otherwise(F.coalesce(f"drop{k}", F.lit(0.0)) + cost)
+        found = last.where("cost is not null").select("gram", "cost")
+        return scratch.save(found.unionByName(rest.select("gram", (F.col("drop") + cost).alias("cost"))).withColumn("cost", F.col("cost").cast("float")), "costs")
+
+
+def shortened(gram: str, k: int):
+    """The gram with the latest ``k`` bytes of its context."""
+    return F.col(gram).bitwiseAND((1 << (8 * k + 9)) - 1)
+
+
+def _model(counts: DataFrame, scratch: Scratch, order: int, share: int | None) -> Trie:
+    """The trie of ``counts`` (gram, n), the grams of ``order`` bytes of context."""
+    grams = [counts.where("n > 0").select("gram", "n")]
+    for k in reversed(range(order)):
+        grams.insert(0, scratch.save(grams[0].groupBy(shortened("gram", k).alias("gram")).agg(F.sum("n").alias("n")), f"grams-{k}"))
+    positions = grams[0].agg(F.sum("n")).first()[0] or 0
+    contexts: list[DataFrame] = []
     for k in range(order + 1):
-        cut = F.col("context").bitwiseAND((1 << (8 * k)) - 1)
-        level = grams.groupBy(cut.alias("context"), "symbol").agg(F.sum("n").alias("n"))
-        often = level.groupBy("context").agg(F.sum("n").alias("_n")).where(F.col("_n") * share >= total).select("context")  # at most ``share`` contexts
-        rows = level.join(often, "context").toPandas()  # at most 257 rows for each
-        context = rows.context.to_numpy(np.int64)
-        if kept is not None:  # a context counts as kept only if its shorter one is
-            inside = np.isin(context & ((1 << (8 * (k - 1))) - 1), kept)
-            rows, context = rows[inside], context[inside]
-        kept = np.unique(context)
-        levels.append((context, rows.symbol.to_numpy(np.int64), rows.n.to_numpy(np.float64)))
-    return Trie(order, levels)
+        rows = grams[k].withColumn("context", F.shiftright("gram", 9))
+        if k:
+            # The symbols seen here are excluded below, which leaves the mass of the others there.
+            below = grams[k - 1].select(F.col("gram").alias("lower"), F.col("n").alias("below"))
+            rows = rows.join(below, shortened("gram", k - 1) == F.col("lower"))
+        else:
+            rows = rows.withColumn("below", F.lit(1))
+        rows = rows.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("below").alias("below"))
+        if share is not None:
+            rows = rows.where(F.col("total") * share >= positions)
+        if k:
+            parents = contexts[k - 1].select(F.col("context").alias("parent"), F.col("total").alias("whole"), F.col("escape").alias("lower_escape"))
+            rows = rows.join(parents, F.col("context").bitwiseAND((1 << (8 * (k - 1))) - 1) == F.col("parent"))
+        else:
+            rows = rows.withColumn("whole", F.lit(257)).withColumn("lower_escape", F.lit(0.0))
+        rows = rows.withColumn("mass", (F.col("whole") - F.col("below") + F.col("lower_escape") * F.col("below")) / F.col("whole"))
+        rows = rows.withColumn("escape", F.when(F.col("mass") <= 1e-12, 0.0).otherwise(F.col("kinds") / (F.col("total") + F.col("kinds"))))
+        sure, drop = F.log10((1 - F.col("escape")) / F.col("total")), F.when(F.col("escape") > 0, F.log10(F.col("escape") / F.col("mass"))).otherwise(0.0)
+        contexts.append(scratch.save(rows.select("context", "total", "escape", sure.alias("sure"), drop.alias("drop")), f"contexts-{k}"))
+    return Trie(order, grams, contexts)
+
+
+def _split(rows: DataFrame, scratch: Scratch, order: int, batch_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the rows with their batch, the distinct grams of each batch, the counts of all grams)."""
+    schema = "batch long, row long, doc_id long, held_out boolean, text string, gram long, n long"
+    work = scratch.save(rows.select("row", "doc_id", "held_out", "text").mapInArrow(_batched(order, batch_bytes), schema), "batches")
+    grams = work.where("gram is not null").select("batch", "gram", "n")
+    counts = scratch.save(grams.groupBy("gram").agg(F.sum("n").alias("n")), "counts")
+    return work.where("gram is null").select("batch", "row", "doc_id", "held_out", "text"), grams.select(F.col("batch").alias("lot"), "gram"), counts
+
+
+def fit_trie(texts: DataFrame, scratch: Scratch, order: int = 5, share: int | None = None, batch_bytes: int = 32 << 20) -> Trie:
+    """The trie of all ``texts`` (column text)."""
+    rows = texts.select(F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text")
+    return _model(_split(rows, scratch, order, batch_bytes)[2], scratch, order, share)
+
+
+def batch_log10(data: np.ndarray, bounds: np.ndarray, order: int, gram: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """log10 probability of each of adjacent texts with its end, from the sorted grams' costs."""
+    context, symbol = gram_keys(data, bounds, order)
+    keys = context * 512 + symbol
+    by = np.argsort(keys)
+    at = np.minimum(np.searchsorted(gram, keys[by]), len(gram) - 1)
+    if (gram[at] != keys[by]).any():
+        raise RuntimeError("a batch lacks grams of its texts")
+    each = np.empty(len(keys))
+    each[by] = cost[at]
+    sums = np.concatenate([[0.0], np.cumsum(each[: len(data)])])
+    return sums[bounds[1:]] - sums[bounds[:-1]] + each[len(data) :]
 
 
 def _token_counts(batch_rows: int = 400_000):
@@ -222,7 +235,7 @@ def _token_counts(batch_rows: int = 400_000):
     return run
 
 
-def score_texts(docs: DataFrame, order: int = 5, share: int = 120_000, hot: int = 200_000) -> DataFrame:
+def score_texts(docs: DataFrame, order: int = 5, share: int | None = None, hot: int = 200_000, batch_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ppm")
@@ -238,16 +251,22 @@ def score_texts(docs: DataFrame, order: int = 5, share: int = 120_000, hot: int
     log_total, end_part = math.log10(n_all + v + 1), math.log10(ends + 1)
     logs = spark.sparkContext.broadcast({t: math.log10(c + 1) for t, c in often.items()})
     scratch.drop()  # the counting's shuffle files
-    trie = spark.sparkContext.broadcast(fit_trie(train, scratch, order, share))  # once for each worker
-    scratch.drop("grams")
+    # A row's key tells repeated ids with other texts apart; fully equal rows share a key and results.
+    keyed = plain.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "held_out", "text")
+    texts, grams, counts = _split(keyed, scratch, order, batch_bytes)
+    costs = _model(counts, scratch, order, share).costs(counts, scratch)
+    scratch.drop("counts", "last", *(f"{t}-{k}" for t in ("grams", "contexts") for k in range(order + 1)))
     names = ["row", "doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "score", "cold", "times"]
 
-    def run(batches):
-        known = logs.value
-        for batch in batches:
+    def run(rows: pa.Table, priced: pa.Table) -> pa.Table:
+        known, out = logs.value, []
+        gram, cost = priced.column("gram").to_numpy(), priced.column("cost").to_numpy()
+        by = np.argsort(gram)
+        gram, cost = gram[by], cost[by]
+        for batch in rows.select(["row", "doc_id", "held_out", "text"]).to_batches():
             for first, data, bounds in text_chunks(batch.column(3)):
                 k = len(bounds) - 1
-                score = trie.value.log10(data, bounds)
+                score = batch_log10(data, bounds, order, gram, cost)
                 raws = batch.column(3).slice(first, k).cast(pa.binary()).to_pylist()
                 tokens, hots, sums, colds, times = [], [], [], [], []
                 for raw in raws:
@@ -266,14 +285,15 @@ def score_texts(docs: DataFrame, order: int = 5, share: int = 120_000, hot: int
                     sums.append(total)
                     colds.append(cold)
                     times.append(many)
-                yield pa.RecordBatch.from_arrays(
+                out.append(pa.RecordBatch.from_arrays(
                     [*(batch.column(i).slice(first, k) for i in range(3)), pa.array(tokens, pa.int64()), pa.array(hots, pa.int64()), pa.array(sums, pa.float64()), pa.array(score), pa.array(colds, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))], names
-                )
+                ))
+        return pa.Table.from_batches(out)
 
-    # A row's key tells repeated ids with other texts apart; fully equal rows share a key and results.
-    keyed = plain.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "held_out", "text")
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_hot long, hot_sum double, score double, cold array<binary>, times array<long>"
-    scored = scratch.save(keyed.mapInArrow(run, schema), "scored")
+    priced = grams.join(costs, "gram").select("lot", "gram", "cost")
+    scored = scratch.save(texts.groupBy("batch").cogroup(priced.groupBy("lot")).applyInArrow(run, schema), "scored")
+    scratch.drop("batches", "costs")
     rest = scored.select("row", F.explode(F.arrays_zip("cold", "times")).alias("c")).select("row", F.col("c.cold").alias("token"), F.col("c.times").alias("times"))
     sums = rest.join(vocabulary, "token").groupBy("row").agg(F.sum("times").alias("n_cold"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("cold_sum"), F.countDistinct("token").alias("kinds"), F.count("*").alias("rows"))
     # Equal rows bring their tokens once each; what they sum to is shared among them.

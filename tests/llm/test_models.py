@@ -175,6 +175,26 @@ def test_partial_matching_equals_definition(spark):
     assert got[203, 60_001] > 0.6 * 210_000 * math.log10(1 / 257)
 
 
+def test_lm_keeps_contexts_of_any_share(spark):
+    """One context of five bytes in some 250000 positions, below the least share that once was kept."""
+    ids = [i for i in range(400) if fold(i, 7) != 2][:130]
+    held = next(i for i in range(400) if fold(i, 7) == 2)
+    texts = ["ab " * 650] * 128 + ["wxyzvq", "pxyzvr"]
+    rows = [*zip(ids, texts), (held, "wxyzvq")]
+    got = {r.doc_id: r.score for r in ppm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), batch_bytes=50_000).collect()}
+    levels = []
+    for k in range(6):
+        count = Counter()
+        for t in texts:
+            data = b"\n" * k + t.encode()
+            for i, s in enumerate([*t.encode(), 256]):
+                count[int.from_bytes(data[i : i + k], "big"), s] += 1
+        levels.append(tuple(zip(*((c, s, n) for (c, s), n in count.items()))))
+    for i, t in rows[-3:]:
+        assert got[i] == pytest.approx(slow_ppm(levels, 5, t.encode()), rel=1e-6)
+    assert got[held] == pytest.approx(got[ids[128]])
+
+
 def test_lm_empty(spark):
     schema = "doc_id long, text string"
     assert ppm.score_texts(spark.createDataFrame([], schema)).count() == 0

@@ -12,7 +12,8 @@ Passages are windows of twice the longest item's words, half overlapping, so eve
 whole in some window. Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.
 
 The items are indexed in shards of bounded size (``shard_items`` and ``shard_bytes``), one pass over
-the documents for each; a small benchmark is one shard. Null or blank texts and items match nothing.
+the documents for each; a small benchmark is one shard. Document frequencies, the number of items,
+their mean and greatest length are those of all items, so shards only split the postings. Null or blank texts and items match nothing.
 Repeated rows give repeated rows; items with equal text are all reported.
 """
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, arrow_batches, splitmix, text_chunks, word_hashes
+from .common import SEPARATORS, Scratch, arrow_batches, splitmix, text_chunks, word_hashes
 
 BLOCKS = 64
 U = np.uint64
@@ -56,9 +57,12 @@ def trigrams(words: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """An inverted index of items with impacts as shares of the item's own score, and block maxima."""
+    """An inverted index of items with impacts as shares of the item's own score, and block maxima.
 
-    def __init__(self, items: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75):
+    ``whole``, if the items are a shard: (items, their mean length, the greatest, {term: items with it}) of all shards.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75, whole: tuple[int, float, int, dict[int, int]] | None = None):
         rows = [(i, t, hashed(t)) for i, t in items]
         rows = [r for r in rows if len(r[2])]
         self.ids = [r[0] for r in rows]
@@ -73,12 +77,17 @@ class Index:
             ids, tf = np.unique(np.searchsorted(self.terms, words), return_counts=True)
             counted.append((ids, tf))
             df[ids] += 1
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        mean = lengths.mean() if rows else 1.0
+        every = n
+        if whole is not None:
+            every, mean, self.longest, held = whole
+            df = np.array([held[t] for t in self.terms.tolist()], float)
+        idf = np.log(1 + (every - df + 0.5) / (df + 0.5))
         self.postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         self.size = max(1, -(-n // BLOCKS))
         self.bound = np.zeros((len(self.terms), BLOCKS), np.float32)
         for d, (ids, tf) in enumerate(counted):
-            w = idf[ids] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[d] / lengths.mean()))
+            w = idf[ids] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[d] / mean))
             w = w / w.sum()
             for t, x in zip(ids.tolist(), w.tolist()):
                 self.postings[t].append((d, x))
@@ -177,8 +186,30 @@ def item_shards(benchmark: DataFrame, shard_items: int = 4096, shard_bytes: int
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
 
 
-def _index(shard: DataFrame) -> Index:
-    return Index(sorted((int(r.item_id), r.text) for r in shard.collect()))
+def _item_terms(batches):
+    """(length, terms) of the items with words, the terms distinct."""
+    for batch in batches:
+        words = [w for w in (hashed(t) for t in batch.column(0).to_pylist()) if len(w)]
+        terms = [np.unique(w).view(np.int64) for w in words]
+        yield pa.RecordBatch.from_arrays([pa.array([len(w) for w in words], pa.int64()), pa.array(terms, pa.list_(pa.int64()))], ["length", "terms"])
+
+
+def _indexes(benchmark: DataFrame, **shards) -> list[Index]:
+    """An index for each shard, all with the figures of the whole benchmark."""
+    parts = item_shards(benchmark, **shards)
+    rows = [lambda s=s: sorted((int(r.item_id), r.text) for r in s.collect()) for s in parts]
+    if len(parts) == 1:
+        return [Index(rows[0]())]
+    terms = lambda items: items.select("text").mapInArrow(_item_terms, "length long, terms array<long>")
+    every = Scratch(benchmark.sparkSession, "decontam").save(terms(reduce(DataFrame.unionByName, parts)), "terms")
+    n, mean, longest = every.agg(F.count("*"), F.avg("length"), F.max("length")).first()
+    df = every.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    out = []
+    for part, items in zip(parts, rows):
+        mine = terms(part).select(F.explode("terms").alias("term")).distinct()
+        held = {int(r.term) & 0xFFFFFFFFFFFFFFFF: int(r.n) for r in df.join(mine, "term").collect()}  # the terms of one shard
+        out.append(Index(items(), whole=(n, mean, longest, held)))
+    return out
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.6, **shards) -> DataFrame:
@@ -199,7 +230,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, ov
 
         return run
 
-    return reduce(DataFrame.unionByName, [plain.mapInArrow(search(_index(s)), schema) for s in item_shards(benchmark, **shards)])
+    return reduce(DataFrame.unionByName, [plain.mapInArrow(search(i), schema) for i in _indexes(benchmark, **shards)])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.6, **shards) -> DataFrame:
@@ -216,4 +247,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
 
         return run
 
-    return reduce(lambda df, s: df.mapInArrow(keep(_index(s)), docs.schema), item_shards(benchmark, **shards), docs)
+    return reduce(lambda df, i: df.mapInArrow(keep(i), docs.schema), _indexes(benchmark, **shards), docs)

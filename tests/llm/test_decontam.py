@@ -54,6 +54,18 @@ def test_leaks_are_found_and_others_left(spark):
     assert find_leaks(docs.limit(0), table).count() == 0
 
 
+def test_shards_give_the_results_of_one_index(spark):
+    bench, r = items(120, 8), random.Random(6)
+    rows = []
+    for i, (_, text) in enumerate(bench):
+        rows.append((i, " ".join(w for w in text.split() if r.random() < 0.75)))
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    found = lambda **how: {(x.doc_id, x.item_id): round(x.score, 9) for x in find_leaks(docs, table, overlap=0.0, **how).collect()}
+    one = found()
+    assert len(one) > 20
+    assert found(shard_items=30) == one
+
+
 def test_items_split_and_hash():
     assert split_item("What is it? It is that.") == ("What is it?", "It is that.")
     assert split_item("a b c d e f") == ("a b c d", "e f")

@@ -114,7 +114,8 @@ def signatures(rule: Rule, tokens: np.ndarray, at: np.ndarray, deletions: bool =
     Returns (set row, band, units, group id, signature, is deletion); a group is one segment of one
     set in one band, its subset's signature being the mixed sum of its tokens' hashes. With
     ``deletions``, the subsets of at most ``widest`` tokens also give one signature for each
-    token left out, and only subsets of fewer than ``widest`` tokens may grant a deletion.
+    token left out, and only subsets of fewer than ``widest`` tokens may grant a deletion. The empty
+    subsets give signatures too then, so that any set can grant H + 1 units.
     """
     sizes = np.diff(at)
     rows, bands, units = rule.schemes(sizes)
@@ -144,14 +145,18 @@ def signatures(rule: Rule, tokens: np.ndarray, at: np.ndarray, deletions: bool =
     gid = np.arange(len(heads))
     if not deletions:
         return rows[part[heads]], bands[part[heads]], units[part[heads]], gid, exact, np.zeros(len(heads), bool)
+    # Segments without tokens agree with each other, and with those of one token within a deletion.
+    bare = np.setdiff1d(np.arange(int(m.sum())), group[heads], assume_unique=True)
+    whose = np.searchsorted(shift, bare, "right") - 1
+    none = sign(np.zeros(len(bare), U), splitmix((bare - shift[whose]).astype(U) * U(64) + bands[whose].astype(U) + U(1)), bands[whose])
     width = np.diff(np.append(heads, total))
     mine = np.repeat(gid, width)
     some = width[mine] <= widest
     each = mine[some]
     less = sign(sums[each] - mixed[some], salt[each], bands[part[heads]][each])
-    some_one = np.concatenate([gid, each])
-    p = part[heads][some_one]
-    return rows[p], bands[p], units[p], some_one, np.concatenate([exact, less]), np.concatenate([np.zeros(len(gid), bool), np.ones(len(each), bool)])
+    some_one = np.concatenate([gid, each, len(heads) + np.arange(len(bare))])
+    p = np.concatenate([part[heads], part[heads][each], whose])
+    return rows[p], bands[p], units[p], some_one, np.concatenate([exact, less, none]), np.concatenate([np.zeros(len(gid), bool), np.ones(len(each), bool), np.zeros(len(bare), bool)])
 
 
 def fingerprint(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -433,7 +438,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = signs.mapInArrow(_repeated, "fp long, band long").groupBy("fp", "band").agg(F.count("*").alias("met"))
     have = profile.where(F.size("signs") > 0).select("fp", "n", F.explode(F.array_distinct(F.transform("signs", lambda s: s.bitwiseAND(63)))).alias("band"), "signs")
     have = have.select("fp", "n", "band", F.size(F.filter("signs", lambda s: s.bitwiseAND(63) == F.col("band"))).alias("all_signs")).groupBy("fp", "band").agg(F.first("n").alias("n"), F.first("all_signs").alias("all_signs"))
-    needy = met.join(have, ["fp", "band"]).withColumn("units", _needs(rule)(F.col("n"), F.col("band").cast("int"))).where("all_signs - met < units")
+    needy = have.join(met, ["fp", "band"], "left").withColumn("met", F.coalesce("met", F.lit(0))).withColumn("units", _needs(rule)(F.col("n"), F.col("band").cast("int"))).where("all_signs - met < units")
     arrow_batches(spark, 20_000)
     needy = scratch.save(needy.select("fp", "band", "units"), "needy")
     arrow_batches(spark)

@@ -131,3 +131,13 @@ def test_shingles_of_short_and_blank_texts():
     assert np.diff(at).tolist() == [0, 0, 1, 1, 1, 2]
     assert tokens[at[2]] == tokens[at[3]]
     assert tokens[at[4]] in tokens[at[5] : at[6]]
+
+
+def test_sets_with_tokens_in_few_segments(spark):
+    """Sets of 6 and 7 shingles, some with all of them in one segment, next to their neighbours by one token."""
+    full = "w680282 w734035 w821916 w990160 w490601 w818553 w785675 w740413 w645352 w663556".split()
+    r = random.Random(7)
+    pairs = [full] + [[f"v{r.randrange(10**6)}" for _ in range(10)] for _ in range(1500)]
+    rows = [(2 * i + j, " ".join(w[: 10 - j])) for i, w in enumerate(pairs) for j in (0, 1)]
+    got = {x.doc_id: (x.component_id, x.n_links) for x in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=4, num=85, den=100).collect()}
+    assert got == {i: (i - i % 2, 1) for i, _ in rows}

@@ -56,6 +56,23 @@ def test_models_tell_random_from_ordinary(spark):
     assert all(got[60 + i] == 0 for i in range(len(ordinary)))
 
 
+def test_short_and_digitless_tokens_are_scored(spark):
+    """Random tokens of 12 to 19 characters, and of letters alone; ordinary words, numbers and rules stay."""
+    r = random.Random(12)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    short = ["".join(r.choices(b64, k=n)) for n in range(12, 20) for _ in range(6)]
+    letters = ["".join(r.choices(b64[:52], k=n)) for n in (20, 24, 32) for _ in range(6)]
+    words = ["value", "number", "configuration", "international", "identifier", "quick_brown", "the_fox", "words_of", "2024", "135790", "24681357"]
+    ordinary = ["internationalization", "thequickbrownfoxnumber", "configuration_value_identifier", "===================", "words"]
+    rows = [(i, f"before {s} after") for i, s in enumerate([*short, *letters, *ordinary])]
+    rows += [(1000 + i, " ".join(r.choices(words, k=300))) for i in range(5)]
+    got = {x.doc_id: x.n_random for x in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] for i in range(len(short))) >= 0.8 * len(short)
+    assert sum(got[len(short) + i] for i in range(len(letters))) >= 0.8 * len(letters)
+    assert not any(got[len(short) + len(letters) + i] for i in range(len(ordinary)))
+    assert not any(got[1000 + i] for i in range(5))
+
+
 def test_redaction(scanned):
     docs, rows = scanned
     clean = redact(docs.withColumn("n_chars", docs.found.cast("long")))

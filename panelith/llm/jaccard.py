@@ -342,10 +342,10 @@ def _neighbourhoods(rule: Rule, widest: int):
     return run
 
 
-def link_block(rule: Rule, fps: np.ndarray, tokens: np.ndarray, at: np.ndarray, side: np.ndarray, copies: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+def link_block(rule: Rule, fps: np.ndarray, tokens: np.ndarray, at: np.ndarray, side: np.ndarray, copies: np.ndarray, across: bool | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
     """(a spanning forest of the links among sets, how many rows each set links with), exactly.
 
-    With two sides, only links across are sought. ``copies`` are the rows that have each set.
+    With two sides, or ``across``, only links across are sought. ``copies`` are the rows that have each set.
 
     Overlaps of a set with all others are counted over the postings of its tokens. Tokens that more
     than half of the sets hold have the list of those that lack them instead.
@@ -358,7 +358,8 @@ def link_block(rule: Rule, fps: np.ndarray, tokens: np.ndarray, at: np.ndarray,
     freq = np.diff(cut)
     lacking = {int(t): np.setdiff1d(np.arange(k), post[cut[t] : cut[t + 1]], assume_unique=True) for t in np.flatnonzero(freq > k // 2)} if k > 8 else {}
     root, out, degree = np.arange(k), [], np.zeros(k, np.int64)
-    across = bool(side.any()) and not side.all()
+    if across is None:
+        across = bool(side.any()) and not side.all()
     for r in range(k):
         if across and side[r]:
             continue
@@ -397,7 +398,7 @@ def _verify(rule: Rule):
             lists = [np.asarray(t, np.int64).view(U) for t in g.tokens]
             at = np.concatenate([[0], np.cumsum([len(t) for t in lists])]).astype(np.int64)
             fps = g.fp.to_numpy()
-            links, degree = link_block(rule, fps, np.concatenate(lists), at, g.side.to_numpy(), g.copies.to_numpy())
+            links, degree = link_block(rule, fps, np.concatenate(lists), at, g.side.to_numpy(), g.copies.to_numpy(), bool(g.pair.iloc[0]))
             out += [(u, v, None) for u, v in links]
             out += [(int(fps[i]), None, int(degree[i])) for i in np.flatnonzero(degree)]
         return pd.DataFrame({c: pd.array([r[i] for r in out], "Int64") for i, c in enumerate("uvn")})
@@ -406,9 +407,9 @@ def _verify(rule: Rule):
 
 
 def _deal(rows: DataFrame, key, few: int) -> DataFrame:
-    """Rows of groups (key) in ``parts`` blocks, once for each pair of blocks (fp, grp, side, unit).
+    """Rows of groups (key) in ``parts`` blocks, once for each pair of blocks (fp, grp, side, unit, pair).
 
-    ``grp`` tells the block pairs apart, ``side`` is 1 for the second block of a pair; block pairs of
+    ``grp`` tells the block pairs apart, ``side`` is 1 for the second block of a pair, ``pair`` tells two blocks from one; block pairs of
     split groups are tasks of their own, whole groups share ``few`` tasks, a number that grows with the rows.
     """
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
@@ -417,7 +418,7 @@ def _deal(rows: DataFrame, key, few: int) -> DataFrame:
     rows = rows.select("fp", "parts", key.alias("_key"), part.alias("part"))
     rows = rows.select("fp", "parts", "_key", F.explode(F.when(F.col("parts") == 1, one).otherwise(many)).alias("t")).select("fp", "parts", "_key", "t.*")
     unit = F.when(F.col("parts") == 1, F.pmod("_key", F.lit(few))).otherwise(F.xxhash64("_key", "a", "b"))
-    return rows.select("fp", F.xxhash64("_key", "a", "b").alias("grp"), "side", unit.alias("unit"))
+    return rows.select("fp", F.xxhash64("_key", "a", "b").alias("grp"), "side", unit.alias("unit"), (F.col("a") != F.col("b")).alias("pair"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, widest: int = 4, bucket: int = 4096, block_tokens: int = 1_000_000) -> DataFrame:

@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from panelith.llm.jaccard import Rule, apart, jaccard_components, keep_one, link_block, shingle_sets, signatures, sketches
+from panelith.llm.jaccard import Rule, _verify, apart, jaccard_components, keep_one, link_block, shingle_sets, signatures, sketches
 
 
 def brute(texts, k, num, den):
@@ -141,3 +142,10 @@ def test_sets_with_tokens_in_few_segments(spark):
     rows = [(2 * i + j, " ".join(w[: 10 - j])) for i, w in enumerate(pairs) for j in (0, 1)]
     got = {x.doc_id: (x.component_id, x.n_links) for x in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=4, num=85, den=100).collect()}
     assert got == {i: (i - i % 2, 1) for i, _ in rows}
+
+
+def test_a_block_pair_with_an_empty_side_counts_no_links():
+    tokens = list(range(1, 101))
+    for side, pair, rows in ((0, False, 3), (0, True, 0), (1, True, 0)):
+        block = pd.DataFrame({"grp": 1, "fp": [5, 6], "side": side, "pair": pair, "copies": 1, "tokens": [tokens, tokens[1:]]})
+        assert len(_verify(Rule(85, 100))(block)) == rows

@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 
-from panelith.llm.quality import content_share, keep_good, quality_rules, text_lines, train_crf, viterbi
+from panelith.llm.quality import bound_states, content_share, keep_good, quality_rules, text_lines, train_crf, train_lines, viterbi
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -68,7 +68,44 @@ def test_viterbi_is_the_best_path():
 
 def test_training_separates_lines():
     good, bad = [np.array(text_lines(prose(i).encode())[0]) for i in range(10)], [np.array(text_lines(junk(i).encode())[0]) for i in range(10)]
-    w, t = train_crf(good + bad, [1] * 10 + [0] * 10)
+    w, t = train_crf(good + bad, [np.ones(len(s), int) for s in good] + [np.zeros(len(s), int) for s in bad])
     mixed = text_lines((prose(50) + "\n" + junk(50)).encode())
     assert 0.3 < content_share(mixed[0], mixed[1], w, t) < 0.7
     assert content_share([], [], w, t) == 0.0
+
+
+def test_latent_states_change_within_texts():
+    """Documents of both labels mix prose and junk; the share follows the prose that is planted."""
+    def lines(text):
+        rows, sizes, _ = text_lines(text.encode())
+        return np.array(rows), np.array(sizes, float)
+
+    good = [lines(prose(200 + i, 80) + "\n" + junk(200 + i, 10 * (i % 3))) for i in range(30)]
+    bad = [lines(prose(100 + i, 10 + 10 * (i % 2)) + "\n" + junk(100 + i, 80)) for i in range(30)]
+    w, t = train_lines([x for x, _ in good + bad], [c for _, c in good + bad], [1] * 30 + [0] * 30)
+    shares = []
+    for k in range(9):
+        rows, sizes, _ = text_lines((prose(500, 10 * k) + "\n" + junk(500, 10 * (8 - k))).encode())
+        shares.append(content_share(rows, sizes, w, t))
+        assert abs(shares[-1] - sum(sizes[:k]) / sum(sizes)) < 1e-9
+    assert shares == sorted(shares) and len(set(shares)) == 9
+
+
+def test_bound_states_are_the_least_change():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        n = int(rng.integers(1, 12))
+        emit, trans, sizes = rng.normal(size=(n, 2)), rng.normal(size=(2, 2)), rng.integers(1, 9, n).astype(float)
+        for label in (0, 1):
+            path = bound_states(emit, trans, sizes, label)
+            assert (path @ sizes * 2 >= sizes.sum()) if label else (path @ sizes * 2 <= sizes.sum())
+
+
+def test_clashing_columns(spark):
+    _, docs, labels = tables(spark)
+    for c in ("quality", "toxic", "doc", "id", "x", "sizes", "content_share"):
+        docs = docs.withColumn(c, docs.n_words.cast("string"))
+    assert quality_rules(docs, labels).count() == docs.count()
+    kept = keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.select("doc_id").collect() if r.doc_id < 80} == set(range(40))

@@ -5,23 +5,26 @@ is scored by its character n-grams, each character by the longest n-gram ending
 language knows, from ``longest`` letters down to one. Word edges count as a character. The language
 with the highest sum wins; ties go to the first by name.
 
-The frequencies come from a bounded sample of labelled rows: at most ``sample`` texts of each
-language outside fold 0 of 5, those with the least hash of their id, whose counts are aggregated by
-Spark; of each language's words the ``vocabulary`` commonest are kept, every n-gram is. Languages
-are the labels found there; a label that is null trains nothing.
+The frequencies come from a bounded sample of labelled rows: of each language at most ``sample``
+documents outside fold 0 of 5, those with the least hash of their id, as far as their texts sum up to
+``sample_bytes`` (one text at least). All words of the sample are kept, and all n-grams, each counted
+once in every different word. Languages are
+the labels found there; a label that is null trains nothing. A doc_id with several texts of a
+language trains with the least of them.
 
 Null texts, and texts without a letter, are ``und`` with score 0. With nothing learned every text is
-``und``. Repeated rows come back repeated; texts are read whole.
+``und``. Repeated rows come back repeated; texts are read whole. Only doc_id, text and lang are read,
+so other columns may have any names.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,105 +39,131 @@ def words_of(text: str) -> list[str]:
 
 
 class Backoff:
-    """Per-language log frequencies of words and n-grams, and the scores of whole texts."""
+    """Per-language log frequencies of words and n-grams, and the scores of whole texts.
 
-    def __init__(self, langs: list[str], words: dict[str, list[float]], grams: dict[str, list[float]], longest: int):
-        self.langs, self.longest = langs, longest
-        self.words, self.grams = words, grams
-        self.cache: dict[str, list[float]] = {}
+    ``words`` and ``grams`` give the row of each term in ``table``, which has a column for each language.
+    """
 
-    def unseen(self, word: str) -> list[float]:
-        """Mean log probability of the characters, times their number plus one for the word."""
-        if word in self.cache:
-            return self.cache[word]
-        if len(self.cache) > 100_000:
-            self.cache.clear()
-        edged, total = f" {word} ", [0.0] * len(self.langs)
-        for i in range(1, len(edged)):
-            for n in range(min(self.longest, i + 1), 0, -1):
-                row = self.grams.get(edged[i + 1 - n : i + 1])
+    def __init__(self, langs: list[str], words: dict[str, int], grams: dict[str, int], table: np.ndarray, longest: int):
+        self.langs, self.longest, self.table = langs, longest, table
+        self.words, self.grams = words, grams
+        self.cache: dict[str, list[int]] = {}
+
+    def unseen(self, word: str) -> list[int]:
+        """The rows of a word that training has not: for each character, of the longest known n-gram that ends there."""
+        edged, out, grams, longest = f" {word} ", [], self.grams, self.longest
+        for end in range(2, len(edged) + 1):
+            for start in range(max(0, end - longest), end):
+                row = grams.get(edged[start:end])
                 if row is not None:
-                    for k, x in enumerate(row):
-                        total[k] += x
+                    out.append(row)
                     break
-        self.cache[word] = total
-        return total
+        if len(self.cache) > 200_000:
+            self.cache.clear()
+        self.cache[word] = out
+        return out
+
+    def totals(self, words: list[str]) -> np.ndarray:
+        """The summed log frequencies of a text's words in each language."""
+        known, cache, rows = self.words, self.cache, []
+        for w in words:
+            row = known.get(w)
+            if row is not None:
+                rows.append(row)
+            else:
+                rows += cache.get(w) or self.unseen(w)
+        return self.table[rows].sum(0) if rows else np.zeros(len(self.langs))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text or "")
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        total = np.zeros(len(self.langs))
-        known, rows, times = self.words, [], []
-        for w, n in Counter(words).items():
-            rows.append(known.get(w) or self.unseen(w))
-            times.append(n)
-        total = np.array(times, float) @ np.array(rows)
+        total = sum(self.totals(words[i : i + 100_000]) for i in range(0, len(words), 100_000))
         best = int(total.argmax())
         p = 1.0 / float(np.exp(np.clip(total - total[best], -700, 0)).sum())
         return self.langs[best], p
 
 
-def _counts(longest: int):
-    """(lang, kind, term, n): words (kind 0), and n-grams (kind n) of the distinct words of a batch."""
+def _word_counts(batches):
+    """(lang, term, n) of the words of a batch."""
+    for batch in batches:
+        out: dict[str, Counter] = {}
+        for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+            out.setdefault(lang, Counter()).update(words_of(text))
+        for lang, words in out.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["lang", "term", "n"])
+
+
+def _gram_counts(longest: int):
+    """(lang, kind, term, n) of the n-grams of different words, kind being n."""
 
     def run(batches):
         for batch in batches:
-            out: dict[str, Counter] = {}
-            for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                out.setdefault(lang, Counter()).update(words_of(text or ""))
-            for lang, words in out.items():
-                grams: Counter = Counter()
-                for w in words:
-                    edged = f" {w} "
-                    for n in range(1, longest + 1):
-                        for i in range(max(0, 2 - n), len(edged) - n + 1):
-                            grams[edged[i : i + n]] += 1
-                terms = [*words, *grams]
-                kinds = [0] * len(words) + [len(g) for g in grams]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(terms)), pa.array(kinds, pa.int32()), pa.array(terms), pa.array([*words.values(), *grams.values()])], ["lang", "kind", "term", "n"])
+            grams: Counter = Counter()
+            for lang, word in zip(*(c.to_pylist() for c in batch.columns)):
+                edged = f" {word} "
+                for n in range(1, longest + 1):
+                    for i in range(max(0, 2 - n), len(edged) - n + 1):
+                        grams[lang, edged[i : i + n]] += 1
+            langs, terms = zip(*grams) if grams else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([len(t) for t in terms], pa.int32()), pa.array(terms, pa.string()), pa.array(grams.values(), pa.int64())], ["lang", "kind", "term", "n"])
 
     return run
 
 
-def fit_language(docs: DataFrame, sample: int = 1500, vocabulary: int = 20_000, longest: int = 4) -> Backoff:
-    scratch = Scratch(docs.sparkSession, "langid")
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where((fold("doc_id", 5) != 0) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).distinct()
-    ids = scratch.save(ids.withColumn("_row", F.row_number().over(by_hash)).where(F.col("_row") <= sample).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")), "ids")
-    # At most ``sample`` ids for each language label.
-    texts = docs.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select(F.col("_lang").alias("lang"), F.col("text").cast("string"))
-    counts = scratch.save(texts.mapInArrow(_counts(longest), "lang string, kind int, term string, n long").groupBy("lang", "kind", "term").agg(F.sum("n").alias("n")), "counts")
-    totals = {(r.lang, r.kind): (int(r.n), int(r.kinds)) for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
-    langs = sorted({lang for lang, _ in totals})
-    top = Window.partitionBy("lang").orderBy(F.col("n").desc(), "term")
-    words = counts.where("kind = 0").withColumn("_row", F.row_number().over(top)).where(F.col("_row") <= vocabulary).select("lang", "kind", "term", "n")
-    rare = counts.where("kind > 0 and n > 1")
-    found: dict[int, dict[str, dict[str, int]]] = {0: {}, 1: {}}
-    for r in words.unionByName(rare).collect():
-        found[min(r.kind, 1)].setdefault(r.term, {})[r.lang] = int(r.n)
-
-    def table(terms: dict[str, dict[str, int]], smooth: float, order) -> dict[str, list[float]]:
-        out = {}
-        for term, by_lang in terms.items():
-            row = []
-            for lang in langs:
-                n, kinds = totals.get((lang, order(term)), (0, 0))
-                row.append(math.log((by_lang.get(lang, 0) + smooth) / (n + smooth * (kinds + 1))))
-            out[term] = row
-        return out
+def labelled_sample(docs: DataFrame, sample: int, sample_bytes: int) -> DataFrame:
+    """(lang, text) of the bounded sample. The ids of a language are cut by a threshold of their hash first, so few are sorted."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    plain = plain.where((fold("doc", 5) != 0) & F.col("lang").isNotNull() & F.col("doc").isNotNull() & F.col("text").isNotNull())
+    rank = F.xxhash64("doc")
+    # About 8 * sample ids of a language pass, or all, if there are fewer.
+    kinds = plain.groupBy("lang").agg(F.approx_count_distinct("doc").alias("kinds")).select(F.col("lang").alias("name"), F.least(F.lit(1.0), 8.0 * sample / F.col("kinds")).alias("rate"))
+    some = plain.join(kinds, F.col("lang") == F.col("name")).where((rank.bitwiseAND((1 << 52) - 1) / float(1 << 52)) < F.col("rate"))
+    some = some.groupBy("lang", "doc").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(rank.bitwiseAND((1 << 52) - 1), "doc")
+    size = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    some = some.withColumn("row", F.row_number().over(order)).withColumn("size", size)
+    return some.where((F.col("row") <= sample) & ((F.col("row") == 1) | (F.col("size") <= sample_bytes))).select("lang", "text")
+
 
-    return Backoff(langs, table(found[0], 0.1, lambda t: 0), table(found[1], 0.1, len), longest)
+def fit_language(docs: DataFrame, sample: int = 1500, sample_bytes: int = 16 << 20, longest: int = 4) -> Backoff:
+    scratch = Scratch(docs.sparkSession, "langid")
+    texts = scratch.save(labelled_sample(docs, sample, sample_bytes), "sample")
+    words = texts.mapInArrow(_word_counts, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    words = scratch.save(words.select("lang", F.lit(0).alias("kind"), "term", "n"), "words")
+    grams = words.select("lang", "term").mapInArrow(_gram_counts(longest), "lang string, kind int, term string, n long").groupBy("lang", "kind", "term").agg(F.sum("n").alias("n"))
+    counts = scratch.save(words.unionByName(grams), "counts")
+    rows = counts.toArrow()  # the words and n-grams of the bounded sample
+    langs = sorted(pc.unique(rows["lang"]).to_pylist())
+    lang_of = pc.index_in(rows["lang"], pa.array(langs, pa.string())).to_numpy()
+    kind, n = rows["kind"].to_numpy(), rows["n"].to_numpy().astype(float)
+    coded = rows["term"].combine_chunks().dictionary_encode()
+    terms, term = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    # Words and n-grams are different terms; one row of the table for each.
+    key, place = np.unique(term * 2 + (kind > 0), return_inverse=True)
+    order_of = np.zeros(len(key), int)
+    order_of[place] = kind
+    table = np.zeros((len(key), len(langs)))
+    table[place, lang_of] = n
+    for k in range(longest + 1):
+        mine = order_of == k
+        seen = table[mine]
+        table[mine] = np.log((seen + 0.1) / (seen.sum(0) + 0.1 * ((seen > 0).sum(0) + 1)))
+    words = {terms[t >> 1]: i for i, t in enumerate(key.tolist()) if not t & 1}
+    grams = {terms[t >> 1]: i for i, t in enumerate(key.tolist()) if t & 1}
+    return Backoff(langs, words, grams, table, longest)
 
 
 def identify_language(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document."""
     model = fit_language(docs, **how)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)  # the terms of a bounded sample
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                pred, score = zip(*map(model.predict, batch.column(2).to_pylist()))
+                pred, score = zip(*map(shared.value.predict, batch.column(2).to_pylist()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     plain = docs.select(F.col("doc_id").cast("long"), (fold("doc_id", 5) == 0).alias("held_out"), F.col("text").cast("string"))

@@ -96,13 +96,80 @@ def test_language(spark):
 
 
 def test_backoff_prefers_words_then_longer_grams():
-    m = langid.Backoff(["a", "b"], {"w": [-1.0, -9.0]}, {"x": [-5.0, -1.0], "yx": [-1.0, -5.0], " ": [-1.0, -1.0]}, 4)
+    table = np.array([[-1.0, -9.0], [-5.0, -1.0], [-1.0, -5.0], [-1.0, -1.0]])
+    m = langid.Backoff(["a", "b"], {"w": 0}, {"x": 1, "yx": 2, " ": 3}, table, 4)
     assert m.predict("w") == ("a", pytest.approx(1.0, abs=1e-3))
     assert m.predict("x")[0] == "b"
     assert m.predict("yx")[0] == "a"
     assert m.predict("?") == ("und", 0.0)
 
 
+def slow_language(rows, longest=4):
+    """lang_pred of every row by the definition, with plain dictionaries."""
+    train = [(k, langid.words_of(t or "")) for i, t, k in rows if i is not None and k is not None and t is not None and fold(i, 5)]
+    langs = sorted({k for k, words in train if words})
+    counts = {k: [Counter() for _ in range(longest + 1)] for k in langs}
+    for k, words in train:
+        for kind in range(longest + 1) if words else ():
+            for w, n in Counter(words).items():
+                if not kind:
+                    counts[k][0][w] += n
+    for k in langs:
+        # N-grams count once for each different word.
+        for w in counts[k][0]:
+            edged = f" {w} "
+            for n in range(1, longest + 1):
+                for i in range(max(0, 2 - n), len(edged) - n + 1):
+                    counts[k][n][edged[i : i + n]] += 1
+    log = lambda k, kind, term: math.log((counts[k][kind][term] + 0.1) / (sum(counts[k][kind].values()) + 0.1 * (len(counts[k][kind]) + 1)))
+
+    def predict(text):
+        words = langid.words_of(text or "")
+        if not words or not langs:
+            return "und"
+        total = dict.fromkeys(langs, 0.0)
+        for w in words:
+            if any(counts[k][0][w] for k in langs):
+                for k in langs:
+                    total[k] += log(k, 0, w)
+                continue
+            edged = f" {w} "
+            for end in range(2, len(edged) + 1):
+                for n in range(min(longest, end), 0, -1):
+                    gram = edged[end - n : end]
+                    if any(counts[k][n][gram] for k in langs):
+                        for k in langs:
+                            total[k] += log(k, n, gram)
+                        break
+        return max(langs, key=lambda k: (total[k], [-ord(c) for c in k]))
+
+    return {i: predict(t) for i, t, _ in rows}
+
+
+def test_language_by_definition(spark):
+    """Every word and n-gram counts, those seen once too."""
+    r = random.Random(8)
+    syllables = {"aa": ["lo", "ken", "su"], "bb": ["lo", "wich", "ren"], "cc": ["ñi", "su", "wich"]}
+    word = lambda k: "".join(r.choice(syllables[k]) for _ in range(r.randint(1, 4)))
+    rows = [(i, " ".join(word(k) for _ in range(r.randint(1, 12))), k) for i in range(200) for k in [r.choice("abc") * 2]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_language(docs)
+    train = {w for i, t, _ in rows if fold(i, 5) for w in langid.words_of(t)}
+    assert set(model.words) == train
+    want = slow_language(rows)
+    assert {x.doc_id: x.lang_pred for x in langid.identify_language(docs).collect()} == want
+
+
+def test_language_sample_is_bounded_and_columns_may_clash(spark):
+    rows = [(i, "lo " * 10, "aa") for i in range(300)] + [(300 + i, "wich " * 20_000, "bb") for i in range(20)] + [(1, "ken", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for c in ("_id", "_lang", "row", "doc", "kinds", "rate", "name", "size", "held_out", "score"):
+        docs = docs.withColumn(c, docs.text)
+    got = {(r.lang): r["count"] for r in langid.labelled_sample(docs, 50, 150_000).groupBy("lang").count().collect()}
+    assert got == {"aa": 50, "bb": 1}
+    assert langid.identify_language(docs).count() == len(rows)
+
+
 # LM scoring
 
 

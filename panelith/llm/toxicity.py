@@ -8,10 +8,13 @@ Everything is learned from a bounded sample of labelled rows: at most ``sample``
 those with the least hash of their id. Each half of the sample (by text hash) yields a lexicon, by
 document frequency per label, and is described with the other half's, so that no text puts its own
 words in the lexicon that describes it. The trees are grown on both halves, the isotonic step is
-fitted on margins of trees grown on the other half. Copies of a text fall in the same half.
+fitted on margins of trees grown on the other half. Copies of a text fall in the same half. If a half
+has fewer than ``HALF`` texts of a label, the sample is not split: one lexicon and one set of margins.
 
-Null and empty texts have all features zero and get the score of such a text. Without usable
-labels every score is 0. Rows that repeat come back repeated; texts are read whole.
+Null and empty texts have all features zero and get the score of such a text. With texts of one
+label only every score is that label, without any it is 0. A labelled doc_id with several texts
+trains with the least of them. Rows that repeat come back repeated; texts are read whole. Only doc_id
+and text are read, and of the labels doc_id and toxic, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, fold
 
 STEMS = (4, 5, 6, 7)
+#: Texts of each label that a half of the sample needs.
+HALF = 5
 #: Second-person words of the languages at hand (fixed values).
 SECOND = frozenset("you your yours yourself du dich dir dein deine deinen deinem ihr euch euer tu te toi ton ta tes vous votre vos usted ustedes tú ti vuestro vosotros".split())
 _WORD = re.compile(r"[^\W_]+(?:[*@$#!0-9][^\W_]+)*", re.UNICODE)
@@ -167,12 +172,14 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 
 
 class Model:
+    """Lexicons, trees and calibration; without trees ``curve`` is the score of every text."""
+
     def __init__(self, words: dict[str, float], stems: dict[str, float], trees: Trees | None, curve):
         self.words, self.stems, self.trees, self.curve = words, stems, trees, curve
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.trees is None:
-            return np.zeros(len(texts))
+            return np.full(len(texts), self.curve)
         margin = self.trees.margin(np.array([features(t or "", self.words, self.stems) for t in texts]))
         # The steps flatten ties; a little of the margin's own curve keeps the order within a step.
         return np.clip(0.98 * np.interp(margin, *self.curve) + 0.02 / (1 + np.exp(-margin)), 0, 1)
@@ -212,17 +219,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 3000, lexicon
     picked = [(int(r.doc_id), int(r.toxic)) for t in (0, 1) for r in marks.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit((2 - t) * sample).collect()]
     ids = spark.createDataFrame(picked, "doc_id long, toxic int")  # at most 3 * sample rows
     half = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2)).cast("int")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id").select(half.alias("half"), "toxic", "text")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select(half.alias("half"), "toxic", "text")
     texts = scratch.save(texts, "sample")
     totals = {h: [0, 0] for h in (0, 1)}
     for r in texts.groupBy("half", "toxic").count().collect():
         totals[r.half][r.toxic] = r["count"]
-    if min(min(v) for v in totals.values()) < 5:
-        return Model({}, {}, None, None)
+    clean, toxic = (totals[0][t] + totals[1][t] for t in (0, 1))
+    if not clean or not toxic:
+        return Model({}, {}, None, 1.0 if toxic else 0.0)
+    if min(min(v) for v in totals.values()) < HALF:
+        # Too few for halves: each text is described with a lexicon of all, and margins are not crossed.
+        texts = texts.withColumn("half", F.lit(0))
+        totals = {0: [clean, toxic], 1: [0, 0]}
     counts = texts.mapInArrow(_terms, "half int, term string, clean long, toxic long").groupBy("half", "term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = scratch.save(counts.where(F.col("toxic") > 1), "terms")
     lexicons = []
-    for h in (0, 1):
+    crossed = totals[1] != [0, 0]
+    for h in (0, 1) if crossed else (0, 0):
         p = totals[h][1] / sum(totals[h])
         both = F.col("toxic") + F.col("clean")
         gain = F.col("toxic") * F.ln(F.col("toxic") / both / p) + F.when(F.col("clean") > 0, F.col("clean") * F.ln(F.col("clean") / both / (1 - p))).otherwise(0.0)
@@ -237,15 +251,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 3000, lexicon
                 halves = batch.column(0)
                 yield pa.RecordBatch.from_arrays([halves, pa.array([r[0] for r in rows], pa.int32()), pa.array([list(r[1:]) for r in rows], pa.list_(pa.float64()))], ["half", "toxic", "x"])
 
-    rows = texts.mapInArrow(dense, "half int, toxic int, x array<double>").collect()  # at most 3 * sample rows of fixed width, but for repeated rows
+    rows = texts.mapInArrow(dense, "half int, toxic int, x array<double>").collect()  # at most 3 * sample rows of fixed width
     rows.sort(key=lambda r: (r.half, r.toxic, r.x))
     h, y = np.array([r.half for r in rows]), np.array([float(r.toxic) for r in rows])
     x = np.array([r.x for r in rows])
     prior = np.where(y == 1, 1.0, (share[0] / share[1]) * max((y == 1).sum(), 1) / max((y == 0).sum(), 1))
+    trees = Trees().fit(x, y, prior)
     margins = np.zeros(len(y))
-    for k in (0, 1):
+    for k in (0, 1) if crossed else ():
         margins[h == k] = Trees().fit(x[h != k], y[h != k], prior[h != k]).margin(x[h == k])
-    trees = Trees().fit(x, y, prior)
+    if not crossed:
+        margins = trees.margin(x)
     words = {w: max(a.get(w, 0), b.get(w, 0)) for a, b in [(lexicons[0][0], lexicons[1][0])] for w in {*a, *b}}
     stems = {w: max(a.get(w, 0), b.get(w, 0)) for a, b in [(lexicons[0][1], lexicons[1][1])] for w in {*a, *b}}
     return Model(words, stems, trees, isotonic(margins, y, prior))

@@ -56,6 +56,23 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs.limit(0), marks).count() == 0
 
 
+def test_toxicity_of_few_labels(spark):
+    """Few labels train without halves, one label alone is the score, and columns may clash."""
+    rows, labels = toxic_corpus(300, 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, toxic double")
+    for c in ("half", "x", "clean", "term", "held_out", "predicted", "label"):
+        docs = docs.withColumn(c, docs.text)
+    truth = dict((i, t) for i, _, t in labels)
+    train = [(i, q, t) for i, q, t in labels if fold(i, 5)]
+    few = [x for x in train if x[2]][:7] + [x for x in train if not x[2]][:60]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, frame(few)).collect()}
+    mean = lambda t: np.mean([got[i].score for i in truth if truth[i] == t])
+    assert len({round(r.score, 6) for r in got.values()}) > 1 and mean(1) > mean(0) + 0.1
+    for t in (0, 1):
+        assert {r.score for r in toxicity.score_toxicity(docs, frame([x for x in train if x[2] == t])).collect()} == {float(t)}
+
+
 def test_trees_and_isotonic():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 4))

@@ -75,3 +75,20 @@ def test_edges(spark):
 def test_water_filling_orders_by_code_point(spark):
     totals = spark.createDataFrame([("\U0001f600", 100), ("￮", 100), (None, 100), ("a", 100)], "source string, source_size long")
     assert [s for s, _, _ in source_targets(totals)] == ["a", "￮", "\U0001f600", None]
+
+
+def test_result_equals_sql(spark, tmp_path):
+    """The whole result against one window per source; ids repeat or are null, and columns clash."""
+    duckdb = pytest.importorskip("duckdb")
+    from panelith.llm.mixing import ORACLE
+
+    r = random.Random(9)
+    rows = [(i if r.random() < 0.9 else None, ("#!" if r.random() < 0.4 else "") + " ".join(r.choice(["w", "ä#", "x!!", "|"]) for _ in range(r.randint(0, 30))), r.choice(["hot"] * 6 + ["a", "é", None, "b"])) for i in range(1500)]
+    rows += [(7, "other text", "hot"), (7, None, "a")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    documents = frame.toArrow()  # noqa: F841 (read by the SQL)
+    for c in ("src", "bucket", "key", "tie", "weight", "name", "size", "b", "s"):
+        frame = frame.withColumn(c, frame.text)
+    got = sorted(map(str, ((x.doc_id, x.size, x.source_size, round(x.target, 6), x.taken, x.source, x.epochs) for x in mix_sources(frame, bucket_rows=20).collect())))
+    want = duckdb.sql(ORACLE).select("doc_id, size, source_size, target, taken, source, epochs").fetchall()
+    assert got == sorted(map(str, ((i, a, b, round(t, 6), c, s, e) for i, a, b, t, c, s, e in want)))

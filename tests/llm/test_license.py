@@ -2,7 +2,9 @@ import random
 import re
 import string
 
-from panelith.llm.license import PHRASES, TEMPLATES, scan_licenses
+import pytest
+
+from panelith.llm.license import PHRASES, TEMPLATES, oracle, scan_licenses
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -56,6 +58,37 @@ def test_templates_are_found_with_gaps_and_insertions(spark):
     assert s[0, names[0]].end_word == 30 + len(TEMPLATES[names[0]].split()) + 1
 
 
+def test_spans_are_verified_word_by_word(spark):
+    texts = ["licensed under the licensed under cc by by sa 4", "Licensed under CC BY-SA 4.0.", "licensed under cc by sa x 4 0", "licensed under cc by cc by sa 4 0", "under cc by sa 4 0 licensed", "released under the MIT license", "released under mit license"]
+    got = [r.labels for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))[0].orderBy("doc_id").collect()]
+    assert got == ["cc-by", "cc-by,cc-by-sa-4.0", "cc-by", "cc-by", "cc-by,cc-by-sa-4.0", "mit-line", ""]
+
+
+def test_result_equals_sql(spark):
+    """The whole summary against SQL, with damaged templates in noise and columns that clash."""
+    duckdb = pytest.importorskip("duckdb")
+    r = random.Random(11)
+    rows = []
+    for i in range(300):
+        words = []
+        for _ in range(r.randint(0, 4)):
+            part = TEMPLATES[r.choice(list(TEMPLATES))].split()
+            for _ in range(r.choice([0, 0, 1, 2, 5, 20])):
+                at = r.randrange(len(part))
+                part[at : at + r.randint(0, 2)] = r.choice([["x"], [], part[:2]])
+                part = part or ["x"]
+            words += part + ["n"] * r.randint(0, 3)
+        rows.append((i, r.choice([" ", "-", ". "]).join(words).upper() if i % 7 else None))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    documents = frame.toArrow()  # noqa: F841 (read by the SQL)
+    for c in ("th", "words", "label", "labels", "name", "wanted", "s_doc", "k_doc", "votes", "_slot", "_bits"):
+        frame = frame.withColumn(c, frame.text)
+    want = duckdb.sql(oracle()).fetchall()
+    got = scan_licenses(frame)[0].collect()
+    assert sorted(map(str, got and [tuple(x) for x in got])) == sorted(map(str, want))
+    assert len({x.labels for x in got}) > 20
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert scan_licenses(docs)[0].count() == 0

@@ -8,13 +8,17 @@ that the terms' maxima cannot lift over the threshold. All items above the thres
 none by rank. A hit counts when both the question part and the answer part of the item overlap the
 passage by word trigrams.
 
-Passages are windows of twice the longest item's words, half overlapping, so every item's text lies
-whole in some window. Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.
+Items fall in length classes of up to ``SHORTEST`` words, 4 times as many, and so on. Passages are
+windows of twice the class's length, half overlapping, so every item's text lies whole in some window
+and a long item widens no window but its own class's. Words are runs of letters, digits and non-ASCII
+characters, A-Z lower-cased.
 
 The items are indexed in shards of bounded size (``shard_items`` and ``shard_bytes``), one pass over
-the documents for each; a small benchmark is one shard. Document frequencies, the number of items,
-their mean and greatest length are those of all items, so shards only split the postings. Null or blank texts and items match nothing.
-Repeated rows give repeated rows; items with equal text are all reported.
+the documents for each; a small benchmark is one shard. Document frequencies, the number of items
+and their mean length are those of all items, so shards and classes only split the postings. Null or
+blank texts and items match nothing. Repeated rows give repeated rows; items with equal text are all
+reported. Only doc_id and text are read, of the benchmark item_id and text, so other columns may have
+any names; ``decontaminate`` passes them on.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import SEPARATORS, Scratch, arrow_batches, splitmix, text_chunks, word_hashes
 
 BLOCKS = 64
+#: Words of the items of the shortest length class at most.
+SHORTEST = 64
 U = np.uint64
 
 
@@ -59,7 +65,8 @@ def trigrams(words: np.ndarray) -> np.ndarray:
 class Index:
     """An inverted index of items with impacts as shares of the item's own score, and block maxima.
 
-    ``whole``, if the items are a shard: (items, their mean length, the greatest, {term: items with it}) of all shards.
+    ``whole``, if the items are a part: (number of all items, their mean length, the most words of an item
+    here, {term: number of all items with it}).
     """
 
     def __init__(self, items: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75, whole: tuple[int, float, int, dict[int, int]] | None = None):
@@ -194,21 +201,44 @@ def _item_terms(batches):
         yield pa.RecordBatch.from_arrays([pa.array([len(w) for w in words], pa.int64()), pa.array(terms, pa.list_(pa.int64()))], ["length", "terms"])
 
 
-def _indexes(benchmark: DataFrame, **shards) -> list[Index]:
-    """An index for each shard, all with the figures of the whole benchmark."""
+def by_length(items: list[tuple[int, str]], whole: tuple[int, float, dict[int, int]] | None = None) -> list[Index]:
+    """An index for each length class of ``items``; ``whole`` are the number of all items, their mean length and terms."""
+    sized = [(i, t, hashed(t)) for i, t in items]
+    sized = [r for r in sized if len(r[2])]
+    if whole is None:
+        terms, held = np.unique(np.concatenate([np.unique(w) for _, _, w in sized]), return_counts=True) if sized else ([], [])
+        whole = len(sized), float(np.mean([len(w) for _, _, w in sized])) if sized else 1.0, dict(zip(map(int, terms), map(int, held)))
+    n, mean, held = whole
+    classes: dict[int, list[tuple[int, str]]] = {}
+    for i, t, words in sized:
+        limit = SHORTEST
+        while limit < len(words):
+            limit *= 4
+        classes.setdefault(limit, []).append((i, t))
+    return [Index(rows, whole=(n, mean, limit, held)) for limit, rows in sorted(classes.items())]
+
+
+def search_all(indexes: list[Index], data: np.ndarray, bounds: np.ndarray, threshold: float, overlap: float) -> list[tuple[int, int, float, float, float]]:
+    """(text, item id, score, question overlap, answer overlap) of adjacent texts, from all length classes."""
+    words, at = word_hashes(data, bounds, SEPARATORS)
+    return [(text, index.ids[item], *figures) for index in indexes for (text, item), figures in index.search(words, at, threshold, overlap).items()]
+
+
+def _indexes(benchmark: DataFrame, **shards) -> list[list[Index]]:
+    """The indexes of each shard, all with the figures of the whole benchmark."""
     parts = item_shards(benchmark, **shards)
     rows = [lambda s=s: sorted((int(r.item_id), r.text) for r in s.collect()) for s in parts]
     if len(parts) == 1:
-        return [Index(rows[0]())]
+        return [by_length(rows[0]())]
     terms = lambda items: items.select("text").mapInArrow(_item_terms, "length long, terms array<long>")
     every = Scratch(benchmark.sparkSession, "decontam").save(terms(reduce(DataFrame.unionByName, parts)), "terms")
-    n, mean, longest = every.agg(F.count("*"), F.avg("length"), F.max("length")).first()
+    n, mean = every.agg(F.count("*"), F.avg("length")).first()
     df = every.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     out = []
     for part, items in zip(parts, rows):
         mine = terms(part).select(F.explode("terms").alias("term")).distinct()
         held = {int(r.term) & 0xFFFFFFFFFFFFFFFF: int(r.n) for r in df.join(mine, "term").collect()}  # the terms of one shard
-        out.append(Index(items(), whole=(n, mean, longest, held)))
+        out.append(by_length(items(), (n, mean, held)))
     return out
 
 
@@ -218,15 +248,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, ov
     names = schema.replace(",", "").split()[::2]
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
-    def search(index: Index):
+    def search(indexes: list[Index]):
         def run(batches):
             for batch in batches:
                 for first, data, bounds in text_chunks(batch.column(1)):
-                    hits = index.search(*word_hashes(data, bounds, SEPARATORS), threshold, overlap)
+                    hits = search_all(indexes, data, bounds, threshold, overlap)
                     if hits:
-                        ids = batch.column(0).take(pa.array([first + t for t, _ in hits]))
-                        cols = [pa.array([index.ids[i] for _, i in hits]), *(pa.array(c) for c in zip(*hits.values()))]
-                        yield pa.RecordBatch.from_arrays([ids, *cols], names)
+                        ids = batch.column(0).take(pa.array([first + h[0] for h in hits]))
+                        yield pa.RecordBatch.from_arrays([ids, *(pa.array(c) for c in list(zip(*hits))[1:])], names)
 
         return run
 
@@ -237,12 +266,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     """The documents that hold no item, unchanged."""
     where = docs.columns.index("text")
 
-    def keep(index: Index):
+    def keep(indexes: list[Index]):
         def run(batches):
             for batch in batches:
                 bad = set()
                 for first, data, bounds in text_chunks(batch.column(where).cast(pa.string())):
-                    bad |= {first + t for t, _ in index.search(*word_hashes(data, bounds, SEPARATORS), threshold, overlap)}
+                    bad |= {first + hit[0] for hit in search_all(indexes, data, bounds, threshold, overlap)}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_())) if bad else batch
 
         return run

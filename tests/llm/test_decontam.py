@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 
@@ -66,6 +69,60 @@ def test_shards_give_the_results_of_one_index(spark):
     assert found(shard_items=30) == one
 
 
+def brute_leaks(rows, bench, threshold=0.6, overlap=0.6, k1=1.2, b=0.75):
+    """{(doc_id, item_id): (score, question overlap, answer overlap)} by the definition, over words instead of hashes."""
+    words_of = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    grams = lambda w: [tuple(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [(x,) for x in w]
+    known = [(i, t, words_of(t)) for i, t in bench if i is not None and words_of(t)]
+    n, mean = len(known), sum(len(w) for _, _, w in known) / max(len(known), 1)
+    df = Counter(x for _, _, w in known for x in set(w))
+    out = {}
+    for item, text, words in known:
+        tf = Counter(words)
+        impact = {x: math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * c * (k1 + 1) / (c + k1 * (1 - b + b * len(words) / mean)) for x, c in tf.items()}
+        full = sum(impact.values())
+        stride = 64
+        while stride < len(words):
+            stride *= 4
+        parts = [grams(words_of(p)) for p in split_item(text)]
+        for doc, passage, *_ in rows:
+            passage = words_of(passage)
+            for lo in range(0, max(len(passage), 1), stride):
+                window = passage[lo : lo + 2 * stride]
+                score = sum(impact[x] for x in set(window) if x in impact) / full
+                if score < threshold:
+                    continue
+                held = {*grams(window), *((x,) for x in window)}
+                q, a = (sum(g in held for g in p) / len(p) if p else 1.0 for p in parts)
+                if q >= overlap and a >= overlap:
+                    out[doc, item] = max(out.get((doc, item), (0.0, 0.0, 0.0)), (score, q, a))
+    return out
+
+
+def test_whole_query_by_definition(spark):
+    """Partly copied items around the thresholds, items of several length classes, clashing columns."""
+    r = random.Random(12)
+    bench = items(25, 9) + [(100 + i, t) for i, (_, t) in enumerate(items(6, 10))] + [(200, " ".join(t for _, t in items(5, 11))), (201, "Word"), (202, "two words")]
+    rows = []
+    for i in range(150):
+        words = [f"k{r.randrange(900)}" for _ in range(r.randrange(200))]
+        part = [w if r.random() < 0.9 else "x" for w in r.choice(bench)[1].split() if r.random() < r.choice([0.8, 1.0])]
+        at = r.randint(0, len(words))
+        rows.append((i, " ".join(words[:at] + part + words[at:])))
+    rows += [(500, None), (501, ""), rows[0]]
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    want = brute_leaks(rows, bench)
+    assert 30 < len(want)
+    for c in ("item_id", "score", "length", "terms", "question_overlap"):
+        docs = docs.withColumn(c, docs.text)
+    table = table.withColumn("doc_id", table.text).withColumn("score", table.text)
+    for how in ({}, {"shard_items": 8}):
+        found = {(x.doc_id, x.item_id): (x.score, x.question_overlap, x.answer_overlap) for x in find_leaks(docs, table, **how).collect()}
+        assert set(found) == set(want)
+        assert all(abs(a - b) < 1e-6 for k in want for a, b in zip(found[k], want[k]))
+        assert {x.doc_id for x in decontaminate(docs, table, **how).select("doc_id").collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
 def test_items_split_and_hash():
     assert split_item("What is it? It is that.") == ("What is it?", "It is that.")
     assert split_item("a b c d e f") == ("a b c d", "e f")

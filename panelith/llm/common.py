@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but ASCII white space.
@@ -37,13 +37,15 @@ class Scratch:
     """Intermediate tables as Parquet below spark.checkpoint.dir, which all executors share.
 
     Writing a table cuts the lineage, so that a lost executor costs one stage and not the whole
-    job. The folder is the session's own setting; only where it is unset (local tests) is a
-    temporary one made and set.
+    job. The folder is the session's own setting. Where it is unset, a session that runs in this one
+    process (tests) gets a temporary one, and any other an error.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.conf.get("spark.master", "").startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="panelith-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark = spark
@@ -146,11 +148,11 @@ class Bitmap:
     ROWS = 1 << 18
 
     def __init__(self, scratch: Scratch, df: DataFrame, column: str, label: str):
-        slots = df.select(self._slot(column), F.expr(f"shiftleft(1L, {self._bit(column)})").alias("_bits"))
-        self.rows = scratch.save(slots.groupBy("_slot").agg(F.bit_or("_bits").alias("_bits")), label)
+        slots = df.select(self._slot(column).alias("slot"), F.expr(f"shiftleft(1L, {self._bit(column)})").alias("bits"))
+        self.rows = scratch.save(slots.groupBy("slot").agg(F.bit_or("bits").alias("bits")), label)
 
     def _slot(self, column: str):
-        return F.expr(f"pmod(xxhash64({column}), {self.ROWS}L) as _slot")
+        return F.expr(f"pmod(xxhash64({column}), {self.ROWS}L)")
 
     @staticmethod
     def _bit(column: str) -> str:
@@ -158,25 +160,47 @@ class Bitmap:
 
     def split(self, df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
         """(rows that may be among the ids, rows that are not)."""
-        marked = df.withColumn("_slot", self._slot(column)).join(F.broadcast(self.rows), "_slot", "left")
-        hit = F.coalesce(F.expr(f"(shiftright(_bits, {self._bit(column)}) & 1L) = 1"), F.lit(False))
+        slot, bits = fresh_names(df, "slot", "bits")
+        rows = self.rows.select(F.col("slot").alias(slot), F.col("bits").alias(bits))
+        marked = df.join(F.broadcast(rows), self._slot(column) == F.col(slot), "left")
+        hit = F.coalesce(F.expr(f"(shiftright({bits}, {self._bit(column)}) & 1L) = 1"), F.lit(False))
         return marked.where(hit).select(*df.columns), marked.where(~hit).select(*df.columns)
 
 
-def components(scratch: Scratch, edges: DataFrame, label: str, most: int = 60) -> DataFrame:
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def components(scratch: Scratch, edges: DataFrame, label: str, salts: int = 64) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v: long), root being the least node of its component.
 
-    Alternates large-star and small-star steps, each a grouped minimum and a join whose rows stay
-    within twice the edges; nothing reaches the driver but a checksum per round.
+    Alternates large-star and small-star steps, each a grouped minimum that goes back to the edges;
+    edges never more than double, and nothing reaches the driver but a checksum per round. It goes on until
+    a round changes nothing. A hub's edges are dealt out over ``salts`` groups, which share their minima.
     """
     now = scratch.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{label}-0")
-    seen = None
-    for i in range(1, most + 1):
+    whole = Window.partitionBy("u")
+
+    def with_least(rows: DataFrame) -> DataFrame:
+        """The edges (u, v) with m, the least neighbour of u."""
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)))
+        least = rows.groupBy("u", "salt").agg(F.min("v").alias("m")).withColumn("m", F.min("m").over(whole))
+        return rows.join(least, ["u", "salt"]).drop("salt")
+
+    i, seen = 0, None
+    while True:
+        i += 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = with_least(large).select(F.explode(F.array(F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         now = scratch.save(small, f"{label}-{i}")
         sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if sign == seen:
@@ -184,7 +208,5 @@ def components(scratch: Scratch, edges: DataFrame, label: str, most: int = 60) -
         if i > 1:
             scratch.drop(f"{label}-{i - 2}")
         seen = sign
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bitmap, Scratch, arrow_batches, components, splitmix, text_chunks, word_hashes
+from .common import Bitmap, Scratch, arrow_batches, components, fresh_names, splitmix, text_chunks, word_hashes
 
 U = np.uint64
 _MULT = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93)]
@@ -499,18 +499,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("doc_id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def oracle(k: int = 4, num: int = 85, den: int = 100) -> str:
+    """The result over ``documents`` as SQL: all pairs that share a shingle, and all reachable pairs."""
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(words) >= {k} THEN list_distinct(list_transform(range(1, len(words) - {k - 2}), lambda i: array_to_string(words[i : i + {k - 1}], ' '))) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS shingles FROM d
+), s AS MATERIALIZED (
+  SELECT doc_id, unnest(shingles) AS shingle, len(shingles) AS n FROM g
+), l AS MATERIALIZED (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING {den} * count(*) >= {num} * (a.n + b.n - count(*))
+), r AS (
+  SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u
+)
+SELECT g.doc_id, len(g.shingles)::BIGINT AS n_shingles, least(g.doc_id, (SELECT min(v) FROM r WHERE r.u = g.doc_id)) AS component_id, (SELECT count(*) FROM l WHERE l.u = g.doc_id)::BIGINT AS n_links
+FROM g
+"""
+
+
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The documents with one of each linked group left: the one with the least doc_id.
 
     Rows that repeat a doc_id are one document; the first by text stays. Of the rows without a
-    doc_id, one of each text stays.
+    doc_id, one of each text stays. Other columns may have any names and are passed on.
     """
     scratch = Scratch(docs.sparkSession, "keep")
     marks = scratch.save(jaccard_components(docs, **how).select(F.col("doc_id").cast("long").alias("doc_id"), "component_id"), "marks")
     ids = marks.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id"))
+    gone, row = fresh_names(docs, "gone", "row")
     ids = scratch.save(ids.where("rows > 1 or component_id <> doc_id").select("doc_id", (F.col("component_id") < F.col("doc_id")).alias("goes")), "ids")
     likely, sure = Bitmap(scratch, ids, "doc_id", "ids-map").split(docs.where("doc_id is not null"), "doc_id")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    left = likely.join(ids.where("goes").select(F.col("doc_id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti").withColumn("_row", first).where("_row = 1").select(*docs.columns)
-    nameless = docs.where("doc_id is null").withColumn("_row", F.row_number().over(Window.partitionBy(F.xxhash64("text"), "text").orderBy(F.lit(1)))).where("_row = 1").select(*docs.columns)
+    left = likely.join(ids.where("goes").select(F.col("doc_id").alias(gone)), F.col("doc_id") == F.col(gone), "left_anti").withColumn(row, first).where(F.col(row) == 1).select(*docs.columns)
+    nameless = docs.where("doc_id is null").withColumn(row, F.row_number().over(Window.partitionBy(F.xxhash64("text"), "text").orderBy(F.lit(1)))).where(F.col(row) == 1).select(*docs.columns)
     return sure.unionByName(left).unionByName(nameless)

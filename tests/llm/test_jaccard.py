@@ -4,7 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from panelith.llm.jaccard import Rule, _verify, apart, jaccard_components, keep_one, link_block, shingle_sets, signatures, sketches
+from panelith.llm.common import Scratch, components
+from panelith.llm.jaccard import Rule, _verify, apart, jaccard_components, keep_one, link_block, oracle, shingle_sets, signatures, sketches
 
 
 def brute(texts, k, num, den):
@@ -144,6 +145,56 @@ def test_sets_with_tokens_in_few_segments(spark):
     assert got == {i: (i - i % 2, 1) for i, _ in rows}
 
 
+@pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80)])
+def test_short_texts_cut_at_both_ends(spark, k, num):
+    """Thousands of short texts next to themselves without their first and last words."""
+    r = random.Random(k)
+    rows = []
+    for i in range(3000):
+        words = [f"v{r.randrange(10**7)}" for _ in range(r.randint(9, 36))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[r.randint(0, 2) : len(words) - r.randint(0, 2)]))]
+    near = {i for i in range(0, len(rows), 2) if brute([rows[i][1], rows[i + 1][1]], k, num, 100)[2][0]}
+    got = {x.doc_id: (x.component_id, x.n_links) for x in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=k, num=num).collect()}
+    assert len(near) > 500
+    assert got == {i: (i - i % 2, 1) if i - i % 2 in near else (i, 0) for i, _ in rows}
+
+
+def test_components_of_hubs_and_chains(spark):
+    scratch, r = Scratch(spark, "test"), random.Random(4)
+    edges = [(5000 + i, 3) for i in range(400)] + [(9000, 5000 + i) for i in range(300)] + [(i, i + 1) for i in range(10_000, 10_200)] + [(r.randrange(200, 900), r.randrange(200, 900)) for _ in range(300)] + [(7, 7)]
+    root = {}
+
+    def find(a):
+        while root.setdefault(a, a) != a:
+            a = root[a]
+        return a
+
+    for u, v in edges:
+        a, b = sorted((find(u), find(v)))
+        root[b] = a
+    got = {x.node: x.root for x in components(scratch, spark.createDataFrame(edges, "u long, v long"), "c").collect()}
+    assert got == {n: find(n) for n in root if n != 7 and any(n in e and e[0] != e[1] for e in edges)}
+
+
+def test_clashing_columns(spark):
+    rows = [(i, " ".join(f"a{j}" for j in range(i % 3, 60))) for i in range(9)] + [(None, "x"), (None, "x"), (3, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("_slot", "_bits", "_row", "_gone", "slot", "bits", "row", "gone", "rows", "goes", "fp", "n", "sign", "band", "component_id", "source"):
+        docs = docs.withColumn(c, docs.text)
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((x.doc_id, x.text[:3], x["_slot"][:3]) for x in kept.collect()))) == ["(0, 'a0 ', 'a0 ')", "(None, 'x', 'x')"]
+    assert jaccard_components(docs).count() == len(rows)
+
+
+def test_result_equals_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    frame = spark.createDataFrame(list(enumerate(corpus(8))), "doc_id long, text string")
+    documents = frame.toArrow()  # noqa: F841 (read by the SQL)
+    got = jaccard_components(frame, k=4, num=85).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert sorted(tuple(x) for x in got) == sorted(duckdb.sql(oracle()).fetchall())
+
+
 def test_a_block_pair_with_an_empty_side_counts_no_links():
     tokens = list(range(1, 101))
     for side, pair, rows in ((0, False, 3), (0, True, 0), (1, True, 0)):

@@ -55,41 +55,65 @@ def neutralize_many(y: Factor, xs: tuple[Factor, ...], name: str) -> Factor:
     return _result(df.groupBy(TS).applyInPandas(run, f"{TS} {kind}, {SYMBOL} string, value double"), name)
 
 
-def regress_many(y: Factor, xs: list[Factor], w: int, lag: int, rettype: int, name: str) -> Factor:
+def rolling_fits(y: np.ndarray, x: np.ndarray, w: int, rettype: int) -> np.ndarray:
+    """The figure ``rettype`` of the fit over each window of ``w`` rows, NaN where there is none.
+
+    Rows that lack a value have weight 0; all windows are solved at once.
+    """
+    n, m = x.shape
+    out = np.full(n, np.nan)
+    if n < w:
+        return out
+    ok = ~np.isnan(y) & ~np.isnan(x).any(1)
+    design = np.where(ok[:, None], np.column_stack([np.ones(n), x]), 0.0)
+    cut = lambda a: np.lib.stride_tricks.sliding_window_view(a, w, axis=0)
+    d, t, held = cut(design).swapaxes(1, 2), cut(np.where(ok, y, 0.0)), cut(ok)
+    count = held.sum(1)
+    gram = np.einsum("nwi,nwj->nij", d, d)
+    values = np.linalg.eigvalsh(gram)
+    usable = (count >= m + 2) & (values[:, 0] > 0)
+    usable[usable] &= values[usable, -1] / values[usable, 0] <= ROLLING_LIMIT
+    d, t, held, count, gram = d[usable], t[usable], held[usable], count[usable], gram[usable]
+    if not len(d):
+        return out
+    coef = np.linalg.solve(gram, np.einsum("nwi,nw->ni", d, t)[..., None])[..., 0]
+    fitted = np.einsum("nwi,ni->nw", d, coef)
+    sse = (held * (t - fitted) ** 2).sum(1)
+    sst = (held * (t - t.sum(1, keepdims=True) / count[:, None]) ** 2).sum(1)
+    last = w - 1 - held[:, ::-1].argmax(1)
+    free = count - m - 1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mse = np.where(free > 0, sse / free, np.nan)
+        if rettype in (8, 9):
+            at = (2, 0)[rettype - 8]
+            got = np.where(mse > 0, np.sqrt(mse * np.linalg.inv(gram)[:, at, at]), np.nan) if at <= m else np.full(len(d), np.nan)
+        elif rettype >= 100:
+            got = coef[:, rettype - 99] if rettype - 99 <= m else np.full(len(d), np.nan)
+        else:
+            every = np.arange(len(d))
+            kinds = {0: lambda: (t - fitted)[every, last], 1: lambda: coef[:, 0], 2: lambda: coef[:, 1], 3: lambda: fitted[every, last], 4: lambda: sse, 5: lambda: sst, 6: lambda: np.where(sst > 0, 1 - sse / sst, np.nan), 7: lambda: mse}
+            got = kinds.get(rettype, lambda: np.full(len(d), np.nan))()
+    out[w - 1 :][usable] = got
+    return out
+
+
+def regress_many(y: Factor, xs: list[Factor], w: int, lag: int, rettype: int, name: str, rows: int = 20_000) -> Factor:
     """Rolling fits of one symbol at a time; see the single-regressor form for ``rettype``.
 
-    Here 8 is the standard error of the second slope and 100 + i the slope of regressor i.
+    Here 8 is the standard error of the second slope and 100 + i the slope of regressor i. ``rows``
+    windows are solved at once.
     """
     df, names = _frame(y, [x.ts_delay(lag) if lag else x for x in xs])
-    m = len(xs)
-
-    def one(rows: np.ndarray) -> float | None:
-        design = np.column_stack([np.ones(len(rows)), rows[:, 1:]])
-        fit = solve(design, rows[:, 0], ROLLING_LIMIT)
-        if fit is None:
-            return None
-        coef, gram = fit
-        fitted = design @ coef
-        sse = float(((rows[:, 0] - fitted) ** 2).sum())
-        sst = float(((rows[:, 0] - rows[:, 0].mean()) ** 2).sum())
-        free = len(rows) - m - 1
-        mse = sse / free if free > 0 else None
-        if rettype in (8, 9):
-            return float(np.sqrt(mse * np.linalg.inv(gram)[(2, 0)[rettype - 8], (2, 0)[rettype - 8]])) if mse else None
-        if rettype >= 100:
-            return float(coef[rettype - 99]) if rettype - 99 <= m else None
-        return {0: rows[-1, 0] - fitted[-1], 1: coef[0], 2: coef[1], 3: fitted[-1], 4: sse, 5: sst, 6: 1 - sse / sst if sst > 0 else None, 7: mse}.get(rettype)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(TS)
         values = pdf[names].to_numpy(float)
-        ok = ~np.isnan(values).any(1)
-        out: list[float | None] = [None] * len(pdf)
-        for i in range(w - 1, len(pdf)):
-            rows = values[i - w + 1 : i + 1][ok[i - w + 1 : i + 1]]
-            if len(rows) >= m + 2:
-                out[i] = one(rows)
-        return pd.DataFrame({TS: pdf[TS], SYMBOL: pdf[SYMBOL], "value": pd.Series(out, index=pdf.index, dtype=object)})
+        parts = []
+        for at in range(0, len(values), rows):
+            low = max(0, at - w + 1)
+            parts.append(rolling_fits(values[low : at + rows, 0], values[low : at + rows, 1:], w, rettype)[at - low :])
+        out = np.concatenate(parts) if parts else np.zeros(0)
+        return pd.DataFrame({TS: pdf[TS], SYMBOL: pdf[SYMBOL], "value": pd.Series(out, index=pdf.index).astype(object).where(~np.isnan(out), None)})
 
     kind = dict(df.dtypes)[TS]
     return _result(df.groupBy(SYMBOL).applyInPandas(run, f"{TS} {kind}, {SYMBOL} string, value double"), name)

@@ -137,6 +137,18 @@ class Factor:
     build: Callable[..., Column] = field(compare=False, repr=False)
     name: str = field(compare=False)
 
+    @classmethod
+    def from_records(cls, spark, records: list[tuple], name: str = "factor") -> Factor:
+        """(timestamp, symbol, value) tuples on their dense grid; of repeated keys the last wins."""
+        return Panel.from_records(spark, ["value"], records).factor("value").rename(name)
+
+    @classmethod
+    def from_matrix(cls, spark, timestamps: list, symbols: list[str], values: list[list], name: str = "factor") -> Factor:
+        """A row of ``values`` for each timestamp, a column for each symbol; None and NaN are missing."""
+        if len(values) != len(timestamps) or any(len(r) != len(symbols) for r in values):
+            raise ValueError("a matrix needs a row for each timestamp and a column for each symbol")
+        return cls.from_records(spark, [(t, s, v) for t, row in zip(timestamps, values) for s, v in zip(symbols, row)], name)
+
     def rename(self, name: str) -> Factor:
         return Factor(self.panel, self.key, self.inputs, self.needs, self.build, name)
 
@@ -318,14 +330,21 @@ def _text(p) -> str:
     return str(p) if isinstance(p, (bool, str)) else num(p)
 
 
+def _bound(name: str, defaults: tuple, args: tuple, kwargs: dict) -> dict:
+    """The parameters by name; surplus, unknown and repeated ones are errors."""
+    values, given = dict(defaults), dict(zip(dict(defaults), args))
+    if len(args) > len(values):
+        raise TypeError(f"{name} takes {len(values)} parameters, not {len(args)}")
+    if wrong := [k for k in kwargs if k not in values or k in given]:
+        raise TypeError(f"{name} got {wrong[0]} twice or does not know it")
+    return {**values, **given, **kwargs}
+
+
 def _unary(name: str, function, needs: str, label: str, *defaults: tuple[str, object]):
     """A method for ``function(x, *params)``; ``label`` formats the derived name from n (own name) and the parameters."""
 
     def method(self: Factor, *args, **kwargs) -> Factor:
-        values = dict(defaults)
-        for (key, _), value in zip(defaults, args, strict=False):
-            values[key] = value
-        values.update(kwargs)
+        values = _bound(name, defaults, args, kwargs)
         if missing := [k for k, v in values.items() if v is REQUIRED]:
             raise TypeError(f"{name} needs {missing[0]}")
         function(F.lit(1.0), **values)  # bad parameters fail here, not when the plan runs
@@ -339,10 +358,7 @@ def _binary(name: str, function, label: str, needs: str = NONE, *defaults: tuple
     """A method for ``function(x, y, *params)``, y a factor or, for element-wise functions, a number."""
 
     def method(self: Factor, other, *args, **kwargs) -> Factor:
-        values = dict(defaults)
-        for (key, _), value in zip(defaults, args, strict=False):
-            values[key] = value
-        values.update(kwargs)
+        values = _bound(name, defaults, args, kwargs)
         shown = other.name if isinstance(other, Factor) else num(other)
         title = label.format(n=self.name, o=shown, **{k: _text(v) for k, v in values.items()})
         if isinstance(other, Factor):

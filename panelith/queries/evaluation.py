@@ -16,11 +16,10 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str):
     def keep(function):
         QUERIES[function.__name__] = function
-        if sql is not None:
-            ORACLE_SQL[function.__name__] = sql
+        ORACLE_SQL[function.__name__] = sql
         return function
 
     return keep
@@ -178,13 +177,6 @@ def backtest_equity(spark, sf):
     return b.shown(run.equity().where("not seed").drop("seed"), 4)
 
 
-@query()
-def backtest_with_costs(spark, sf):
-    price, weight = _reversal(spark, sf)
-    run = bt.Backtester(price, {"reversal": weight, "momentum": -weight}, full_rebalance=True)
-    return b.shown(run.equity(), 4)
-
-
 _RETURNS = f"""WITH {b.TYPE_SQL}{_WEIGHTS},
 r AS (SELECT a.ts, a.j - 1 AS j, a.value / p.value - 1 AS ret, a.value / 1000 AS equity FROM e a JOIN e p ON p.j = a.j - 1),
 y AS (SELECT *, equity / max(equity) OVER (ORDER BY j) - 1 AS dd FROM r)"""

@@ -132,6 +132,45 @@ def merge(sources: list[DataFrame]) -> DataFrame:
     return reduce(join, sources)
 
 
+#: Names of the sources that ``fetch`` takes (fixed values).
+SOURCES = ("ohlcv", "benchmark", "calendar", "vwap")
+
+
+def parse_source(name: str) -> str:
+    if name not in SOURCES:
+        raise ValueError(f"unknown source {name!r}; there are {list(SOURCES)}")
+    return name
+
+
+def fetch(bars: DataFrame, symbols: list[str], timeframe: str, sources: list[str], start=None, end=None, hourly: DataFrame | None = None, bases: tuple[str, ...] = ("BTC", "ETH")) -> Panel:
+    """The named sources in the given order, merged on (symbol, ts) and aligned; the first value of a cell counts.
+
+    ``bars`` are all symbols' bars of the timeframe, ``hourly`` those that a daily vwap is made of. After
+    ``ohlcv`` the others end with the day of its last bar, at midnight.
+    """
+    step(timeframe)
+    parts = []
+    for name in map(parse_source, sources):
+        if name == "ohlcv":
+            part = between(with_renames(bars, symbols, timeframe, start), start, end).select(SYMBOL, TS, *OHLCV)
+            last = part.agg(F.date_trunc("day", F.max(TS)).alias("t")).first()["t"]
+            end = last if last is not None else end
+        elif name == "benchmark":
+            part = between(benchmark(bars, symbols, bases), start, end)
+        elif name == "calendar":
+            part = calendar(bars.sparkSession, symbols, timeframe, start, end)
+        else:
+            part = between(vwap((hourly if hourly is not None else bars).where(F.col(SYMBOL).isin(*symbols)), timeframe), start, end)
+        parts.append(part)
+    return to_panel(merge(parts), symbols, timeframe)
+
+
+def parse_symbols(df: DataFrame, column: str = "json") -> DataFrame:
+    """(symbol) of market lists, each an object {"symbols": [{"symbol": ...}, ...]}, once each."""
+    item = F.from_json(column, "struct<symbols: array<struct<symbol: string>>>", {"mode": "FAILFAST"})
+    return df.select(F.explode(item["symbols"]["symbol"]).alias(SYMBOL)).where(F.col(SYMBOL).isNotNull()).distinct()
+
+
 def to_panel(frame: DataFrame, symbols: list[str], timeframe: str) -> Panel:
     """The wanted symbols on a regular grid, missing cells carried forward.
 

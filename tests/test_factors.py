@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelith import api
 from panelith.functions.elementwise import norm_cdf, norm_ppf
-from panelith.plans.panel import Panel, align
+from panelith.plans.panel import Factor, Panel, align
 from panelith.sources.panel_csv import read_panel, show, to_csv_string, write_panel
 
 from .panels import DAYS, sample, values
@@ -278,3 +278,57 @@ def test_access(p):
         p.select(["none"])
     with pytest.raises(ValueError):
         p.select(["ts"])
+
+
+def test_factors_from_records_and_matrices(spark):
+    nan = float("nan")
+    f = Factor.from_records(spark, [("2024-01-01", "B", 9.0), ("2024-01-01", "B", 2.0), ("2024-01-02", "A", 3.0)], "made")
+    assert f.name == "made"
+    assert sorted((r.ts, r.symbol, r.value) for r in f.frame().collect() if r.value is not None) == [("2024-01-01", "B", 2.0), ("2024-01-02", "A", 3.0)]
+    assert f.frame().count() == 4
+    m = Factor.from_matrix(spark, ["t1", "t2"], ["A", "B"], [[1.0, nan], [None, 4.0]])
+    assert {(r.ts, r.symbol): r.value for r in m.frame().collect()} == {("t1", "A"): 1.0, ("t1", "B"): None, ("t2", "A"): None, ("t2", "B"): 4.0}
+    for bad in ((["t1"], ["A"], [[1.0], [2.0]]), (["t1"], ["A", "B"], [[1.0]])):
+        with pytest.raises(ValueError, match="matrix"):
+            Factor.from_matrix(spark, *bad)
+
+
+def test_surplus_and_unknown_parameters_fail(spark):
+    f = Factor.from_matrix(spark, ["t1"], ["A"], [[1.0]])
+    for call in (lambda: f.ts_mean(5, 7), lambda: f.ts_mean(w=5, v=2), lambda: f.ts_mean(5, w=5), lambda: f.rank(1), lambda: f.ts_corr(f, 5, 6)):
+        with pytest.raises(TypeError):
+            call()
+
+
+def test_rolling_fits_equal_single_solves():
+    from panelith.operators.linear import ROLLING_LIMIT, rolling_fits, solve
+
+    rng = np.random.default_rng(3)
+    y, x = rng.normal(size=60), rng.normal(size=(60, 3))
+    y[rng.random(60) < 0.2] = np.nan
+    x[rng.random((60, 3)) < 0.1] = np.nan
+    x[20:40, 1] = 2 * x[20:40, 0]  # singular windows
+    w = 10
+    for rettype in (*range(10), 100, 101, 102, 103):
+        got = rolling_fits(y, x, w, rettype)
+        for i in range(60):
+            rows = np.column_stack([y, x])[max(0, i - w + 1) : i + 1]
+            rows = rows[~np.isnan(rows).any(1)]
+            fit = solve(np.column_stack([np.ones(len(rows)), rows[:, 1:]]), rows[:, 0], ROLLING_LIMIT) if i >= w - 1 and len(rows) >= 5 else None
+            if fit is None or rettype == 103:
+                assert np.isnan(got[i])
+                continue
+            coef, gram = fit
+            fitted = coef[0] + rows[:, 1:] @ coef[1:]
+            sse, sst, free = ((rows[:, 0] - fitted) ** 2).sum(), ((rows[:, 0] - rows[:, 0].mean()) ** 2).sum(), len(rows) - 4
+            error = lambda k: np.sqrt(sse / free * np.linalg.inv(gram)[k, k]) if free else np.nan  # noqa: B023, E731
+            want = {0: rows[-1, 0] - fitted[-1], 1: coef[0], 2: coef[1], 3: fitted[-1], 4: sse, 5: sst, 6: 1 - sse / sst, 7: sse / free if free else np.nan, 8: error(2), 9: error(0), 100: coef[1], 101: coef[2], 102: coef[3]}[rettype]
+            assert got[i] == pytest.approx(want, rel=1e-6, abs=1e-9, nan_ok=True)
+
+
+def test_sources_are_known_by_name(spark):
+    from panelith.sources.bars import SOURCES, parse_source
+
+    assert [parse_source(s) for s in SOURCES] == list(SOURCES)
+    with pytest.raises(ValueError, match="unknown source"):
+        parse_source("other")

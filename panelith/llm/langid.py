@@ -111,13 +111,18 @@ def _gram_counts(longest: int):
     return run
 
 
-def labelled_sample(docs: DataFrame, sample: int, sample_bytes: int) -> DataFrame:
-    """(lang, text) of the bounded sample. The ids of a language are cut by a threshold of their hash first, so few are sorted."""
+def labelled_sample(docs: DataFrame, sample: int, sample_bytes: int, scratch: Scratch) -> DataFrame:
+    """(lang, text) of the bounded sample. The ids of a language are cut by a threshold of their hash first, so few are sorted.
+
+    The thresholds, a row for each language, are written first: Spark then knows their size and joins them
+    without moving a text, or, should there be megabytes of different labels, by a shuffle.
+    """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     plain = plain.where((fold("doc", 5) != 0) & F.col("lang").isNotNull() & F.col("doc").isNotNull() & F.col("text").isNotNull())
     rank = F.xxhash64("doc")
-    # About 8 * sample ids of a language pass, or all, if there are fewer.
-    kinds = plain.groupBy("lang").agg(F.approx_count_distinct("doc").alias("kinds")).select(F.col("lang").alias("name"), F.least(F.lit(1.0), 8.0 * sample / F.col("kinds")).alias("rate"))
+    # About 4 * sample ids of a language pass, or all, if there are fewer.
+    kinds = plain.groupBy("lang").agg(F.approx_count_distinct("doc").alias("kinds")).select(F.col("lang").alias("name"), F.least(F.lit(1.0), (4.0 * sample + 64) / F.col("kinds")).alias("rate"))
+    kinds = scratch.save(kinds, "kinds")
     some = plain.join(kinds, F.col("lang") == F.col("name")).where((rank.bitwiseAND((1 << 52) - 1) / float(1 << 52)) < F.col("rate"))
     some = some.groupBy("lang", "doc").agg(F.min("text").alias("text"))
     order = Window.partitionBy("lang").orderBy(rank.bitwiseAND((1 << 52) - 1), "doc")
@@ -128,7 +133,7 @@ def labelled_sample(docs: DataFrame, sample: int, sample_bytes: int) -> DataFram
 
 def fit_language(docs: DataFrame, sample: int = 1500, sample_bytes: int = 16 << 20, longest: int = 4) -> Backoff:
     scratch = Scratch(docs.sparkSession, "langid")
-    texts = scratch.save(labelled_sample(docs, sample, sample_bytes), "sample")
+    texts = scratch.save(labelled_sample(docs, sample, sample_bytes, scratch), "sample")
     words = texts.mapInArrow(_word_counts, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n"))
     words = scratch.save(words.select("lang", F.lit(0).alias("kind"), "term", "n"), "words")
     grams = words.select("lang", "term").mapInArrow(_gram_counts(longest), "lang string, kind int, term string, n long").groupBy("lang", "kind", "term").agg(F.sum("n").alias("n"))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from panelith.llm import langid, ppm, toxicity
+from panelith.llm.common import Scratch
 
 fold = lambda i, m: zlib.crc32(("" if i is None else str(i)).encode()) % m
 
@@ -182,11 +183,18 @@ def test_language_sample_is_bounded_and_columns_may_clash(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     for c in ("_id", "_lang", "row", "doc", "kinds", "rate", "name", "size", "held_out", "score"):
         docs = docs.withColumn(c, docs.text)
-    got = {(r.lang): r["count"] for r in langid.labelled_sample(docs, 50, 150_000).groupBy("lang").count().collect()}
+    got = {(r.lang): r["count"] for r in langid.labelled_sample(docs, 50, 150_000, Scratch(spark, "sample")).groupBy("lang").count().collect()}
     assert got == {"aa": 50, "bb": 1}
     assert langid.identify_language(docs).count() == len(rows)
 
 
+def test_the_sample_moves_no_text_that_it_leaves(spark):
+    rows = [(i, "lo ken", "aa" if i % 3 else "bb") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    plan = langid.labelled_sample(docs, 50, 150_000, Scratch(spark, "sample"))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 # LM scoring
 
 

@@ -38,9 +38,11 @@ class Scratch:
 
     Writing a table cuts the lineage, so that a lost executor costs one stage and not the whole
     job. The folder is the session's own setting. Where it is unset, a session that runs in this one
-    process (tests) gets a temporary one, and any other an error.
+    process (tests) gets a temporary one, and any other an error. The shuffle files of a write go when it ends.
     """
 
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
     def __init__(self, spark: SparkSession, label: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
@@ -53,18 +55,21 @@ class Scratch:
         arrow_batches(spark)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        path, before = f"{self.root}/{name}", self.spark.conf.get(self.CLEANUP, "false")
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(self.CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Deletes tables no later step reads, and lets Spark remove shuffle files nobody refers to."""
+        """Deletes tables no later step reads."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
-        jvm.System.gc()
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:

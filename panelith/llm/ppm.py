@@ -65,47 +65,51 @@ def padded(data: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndarray
 
 
 def _batched(order: int, batch_bytes: int, most: int = 600_000):
-    """The rows (row, doc_id, held_out, text) with a number of their batch, and after each batch its grams.
+    """The rows (row, doc_id, held_out, text), packed in blocks with a number of their batch, and after each batch its grams.
 
     A gram is context * 512 + symbol; its n counts the rows that are not held out, and is 0 if only others have it.
     """
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64()]
 
-    def rows(number, size, columns):
-        filled = [pa.array(np.full(size, number)), *columns]
-        return pa.RecordBatch.from_arrays([pa.nulls(size, t) if c is None else c for c, t in zip(filled, kinds)], ["batch", "row", "doc_id", "held_out", "text", "gram", "n"])
+    def rows(number, size, block, gram, n):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(size, number)), block, gram, n], ["batch", "block", "gram", "n"])
 
     def grams(number, held):
         keys, n = _merged(held)
-        return rows(number, len(keys), [None] * 4 + [pa.array(keys), pa.array(n)])
+        return rows(number, len(keys), pa.nulls(len(keys), pa.binary()), pa.array(keys), pa.array(n))
 
     def run(batches):
         number = np.int64(TaskContext.get().partitionId()) << 32
         held, size, waiting = [], 0, 0
         for batch in batches:
+            yield rows(number, 1, pa.array([packed(batch)], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()))
             for first, data, bounds in text_chunks(batch.column(3)):
-                k = len(bounds) - 1
-                part = batch.slice(first, k)
                 context, symbol = gram_keys(data, bounds, order)
-                learned = ~part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                learned = ~batch.column(2).slice(first, len(bounds) - 1).to_numpy(zero_copy_only=False).astype(bool)
                 keys, n = np.unique((context * 512 + symbol) * 2 + np.concatenate([np.repeat(learned, np.diff(bounds)), learned]), return_counts=True)
                 held.append((keys >> 1, n * (keys & 1)))
                 size += len(data)
                 waiting += len(keys)
-                yield rows(number, k, [*part.columns, None, None])
                 if waiting > most:
                     held = [_merged(held)]
                     waiting = 0
-                if size >= batch_bytes:
-                    yield grams(number, held)
-                    number += 1
-                    held, size, waiting = [], 0, 0
+            if size >= batch_bytes:
+                yield grams(number, held)
+                number += 1
+                held, size, waiting = [], 0, 0
         if held:
             yield grams(number, held)
 
     return run
 
 
+def packed(batch: pa.RecordBatch) -> bytes:
+    """The batch as a compressed Arrow stream, which moves and is stored at a fraction of the texts' size."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def _merged(held) -> tuple[np.ndarray, np.ndarray]:
     keys, n = (np.concatenate(c) for c in zip(*held))
     order = np.argsort(keys, kind="stable")
@@ -186,12 +190,12 @@ def _model(counts: DataFrame, scratch: Scratch, order: int, share: int | None) -
 
 
 def _split(rows: DataFrame, scratch: Scratch, order: int, batch_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(the rows with their batch, the distinct grams of each batch, the counts of all grams)."""
-    schema = "batch long, row long, doc_id long, held_out boolean, text string, gram long, n long"
+    """(the rows' blocks with their batch, the distinct grams of each batch, the counts of all grams)."""
+    schema = "batch long, block binary, gram long, n long"
     work = scratch.save(rows.select("row", "doc_id", "held_out", "text").mapInArrow(_batched(order, batch_bytes), schema), "batches")
     grams = work.where("gram is not null").select("batch", "gram", "n")
     counts = scratch.save(grams.groupBy("gram").agg(F.sum("n").alias("n")), "counts")
-    return work.where("gram is null").select("batch", "row", "doc_id", "held_out", "text"), grams.select(F.col("batch").alias("lot"), "gram"), counts
+    return work.where("block is not null").select("batch", "block"), grams.select(F.col("batch").alias("lot"), "gram"), counts
 
 
 def fit_trie(texts: DataFrame, scratch: Scratch, order: int = 5, share: int | None = None, batch_bytes: int = 32 << 20) -> Trie:
@@ -263,7 +267,7 @@ def score_texts(docs: DataFrame, order: int = 5, share: int | None = None, hot:
         gram, cost = priced.column("gram").to_numpy(), priced.column("cost").to_numpy()
         by = np.argsort(gram)
         gram, cost = gram[by], cost[by]
-        for batch in rows.select(["row", "doc_id", "held_out", "text"]).to_batches():
+        for batch in (b for block in rows.column("block") for b in pa.ipc.open_stream(block.as_buffer())):
             for first, data, bounds in text_chunks(batch.column(3)):
                 k = len(bounds) - 1
                 score = batch_log10(data, bounds, order, gram, cost)

@@ -48,10 +48,10 @@ def gram_keys(data: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndar
     ends = start + np.diff(bounds)
     places = np.concatenate([where, ends])
     wide = flat.astype(np.int64)
-    context = np.zeros(len(places), np.int64)
+    context = np.zeros(len(flat), np.int64)
     for j in range(order):
-        context |= wide[places - 1 - j] << (8 * j)
-    return context, np.concatenate([data.astype(np.int64), np.full(len(bounds) - 1, END)])
+        context[j + 1 :] |= wide[: -1 - j] << (8 * j)
+    return context[places], np.concatenate([data.astype(np.int64), np.full(len(bounds) - 1, END)])
 
 
 def padded(data: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:

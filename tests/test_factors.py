@@ -326,6 +326,25 @@ def test_rolling_fits_equal_single_solves():
             assert got[i] == pytest.approx(want, rel=1e-6, abs=1e-9, nan_ok=True)
 
 
+def test_powers_beyond_doubles_are_missing(spark):
+    f = Factor.from_matrix(spark, ["t1", "t2"], ["A", "B"], [[1e200, 10.0], [-1e200, 0.0]])
+    assert values(f**2) == {("t1", "A"): None, ("t1", "B"): 100.0, ("t2", "A"): None, ("t2", "B"): 0.0}
+    assert values(f ** Factor.from_matrix(spark, ["t1", "t2"], ["A", "B"], [[3.0, 3.0], [3.0, -1.0]])) == {("t1", "A"): None, ("t1", "B"): 1000.0, ("t2", "A"): None, ("t2", "B"): None}
+    assert values(10**f)[("t1", "A")] is None
+
+
+@pytest.mark.parametrize("more", [False, True])
+def test_rolling_fits_end_at_the_condition_limit(spark, more):
+    rows = [(f"t{i}", s, float(at + i), float(i * i % 5), float(i * i % 7)) for s, at in (("A", 400), ("B", 600)) for i in range(8)]
+    g = Panel.from_records(spark, ["x", "z", "y"], rows)
+    for s, over in (("A", False), ("B", True)):
+        design = np.array([(1.0, x, z)[: 2 + more] for _, k, x, z, _ in rows if k == s])
+        assert (np.linalg.cond(design.T @ design) > 1e10) == over
+    for rettype in (0, 1, 2, 3, 4, 5, 6, 7, 9, 100):
+        got = values(g.factor("y").ts_regression([g.factor("x"), g.factor("z")][: 1 + more], 8, 0, rettype))
+        assert got["t7", "A"] is not None and got["t7", "B"] is None, rettype
+
+
 def test_sources_are_known_by_name(spark):
     from panelith.sources.bars import SOURCES, parse_source
 
